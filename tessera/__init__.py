@@ -1 +1,8 @@
 """Spark-native code and document intelligence: every operator is DataFrame -> DataFrame or Column -> Column."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
