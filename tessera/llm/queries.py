@@ -17,3 +17,21 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op9_minhash_near_dedup": op9_minhash_near_dedup}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import toxicity
+
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.apply(docs, model)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import mix
+
+    out = mix(_docs(spark, sf_dir).select("doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES |= {"op10_toxicity": op10_toxicity, "op3_mixing": op3_mixing}
