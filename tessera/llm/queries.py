@@ -35,3 +35,27 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op10_toxicity": op10_toxicity, "op3_mixing": op3_mixing}
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.fingerprints import fingerprint_documents
+    from tessera.plans.scratch import Scratch
+
+    return fingerprint_documents(_docs(spark, sf_dir).select("doc_id", "text"), Scratch(spark))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.token_counts import count_tokens
+
+    return count_tokens(_docs(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.url_filter import judge
+
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+
+
+QUERIES |= {"op2_fingerprints": op2_fingerprints, "op4_token_counts": op4_token_counts, "op6_url_filter": op6_url_filter}
