@@ -59,3 +59,21 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_fingerprints": op2_fingerprints, "op4_token_counts": op4_token_counts, "op6_url_filter": op6_url_filter}
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tessera.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        F.col("__n_lines").alias("n_lines"),
+        F.col("__n_dropped").alias("n_dropped"),
+        F.length("__kept").cast("long").alias("kept_chars"),
+        F.sha2("__kept", 256).alias("kept_sha256"),
+    )
+
+
+QUERIES |= {"op1_line_dedup": op1_line_dedup}
