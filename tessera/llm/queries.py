@@ -77,3 +77,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op1_line_dedup": op1_line_dedup}
+
+
+def op8_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.piece_sampling import encode_documents
+
+    return encode_documents(_docs(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
+
+
+QUERIES |= {"op8_sentencepiece_sampling": op8_sentencepiece_sampling}
