@@ -88,3 +88,34 @@ def op8_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op8_sentencepiece_sampling": op8_sentencepiece_sampling}
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tessera.llm.secrets import scan
+
+    return scan(_docs(spark, sf_dir).select("doc_id", "text")).withColumn("value", F.sha2("value", 256)).withColumnRenamed("value", "value_sha256")
+
+
+def op5_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images rendered from all embeddings; queries are edited copies of every image whose id is divisible by 100."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm.media import find_copies, rendered
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    vectors = vectors.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return find_copies(rendered(vectors.where(F.col("vec_id") % 100 == 0), edited=True), rendered(vectors))
+
+
+QUERIES |= {"op7_secret_scan": op7_secret_scan, "op5_media_copies": op5_media_copies}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES |= {"pipeline": pipeline}
