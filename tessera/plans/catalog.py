@@ -20,3 +20,6 @@ def query(oracle: str | None = None):
         return fn
 
     return add
+
+
+from tessera.plans import cost_queries, index_queries  # noqa: E402, F401  (they register themselves)
