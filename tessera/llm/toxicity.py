@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,8 +179,6 @@ def apply(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def _clean_udf(shared):
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = Model(*shared.value)
