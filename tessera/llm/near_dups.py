@@ -9,10 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.linking import link_buckets
+from tessera.llm.set_linking import link_sets
 from tessera.plans.scratch import Scratch
 
 WORDS = 5
@@ -130,13 +130,32 @@ def _confirm(threshold_pct: int):
     return run
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes of the sets of both texts and the shingles that only one of them has."""
+    cache = _WordHash()
+    for batch in batches:
+        n_a, n_b, apart, last, last_sh = [], [], [], None, None
+        for a, b in zip(batch.column(2), batch.column(3), strict=True):
+            ta = a.as_py()
+            if ta != last:
+                last, last_sh = ta, shingles(ta, cache)
+            sb = shingles(b.as_py(), cache)
+            n_a.append(len(last_sh)), n_b.append(len(sb))
+            apart.append(np.setxor1d(last_sh, sb, assume_unique=True).view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(apart, pa.list_(pa.int64()))],
+            names=["c", "id", "n_c", "n", "d"],
+        )
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold_pct: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |A & B| >= threshold_pct * |A | B| over their sets of five-word shingles (words are
     runs other than ASCII white space, A-Z lower-cased). Documents of equal sets form a class by a 128-bit digest; one
     of a class stands for it. Candidates share one of 64 bands of 6 MinHashes (a pair at 0.75 is missed with
-    probability 4e-6) and pass the odd-sketch estimate; each is confirmed on the full sets of both texts.
+    probability 4e-6) and pass the odd-sketch estimate; each is confirmed on the full sets of both texts. Of a bucket of
+    many, set_linking finds the pairs without comparing all members.
 
     Null and empty texts have no shingles and are linked with nothing. A null doc_id gets a null component_id and is
     kept. Rows that repeat both id and text give equal rows; an id with several texts counts as several documents,
@@ -154,23 +173,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = some.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").dropDuplicates(["row"])
     reps = scratch.save(reps.select(F.col("row").alias("id"), "bands", "sketch"), "reps")
     buckets = reps.select(F.explode(F.array_distinct("bands")).alias("key"), "id")
-    most = most_odd_bits(LEAST_ESTIMATE)
 
-    def cheap(left: str, right: str) -> Column:
+    def passing(pairs: DataFrame) -> DataFrame:
+        left = reps.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
+        right = reps.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
         odd = F.lit(0)
         for i in range(SKETCH_BITS // 64):
-            odd = odd + F.bit_count(F.get(F.col(f"{left}sketch"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{right}sketch"), F.lit(i))))
-        return odd <= most
+            odd = odd + F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i))))
+        return pairs.join(left, "a").join(right, "b").where(odd <= most_odd_bits(LEAST_ESTIMATE)).select("a", "b")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.save(pairs, "to-confirm")
+    def with_texts(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.save(pairs, "to-read")
         wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
         texts = scratch.save(rows.select("row", "text").join(wanted, "row", "left_semi").dropDuplicates(["row"]), "texts")
         ta = texts.select(F.col("row").alias("a"), F.col("text").alias("ta"))
         tb = texts.select(F.col("row").alias("b"), F.col("text").alias("tb"))
-        return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(threshold_pct), "a long, b long")
+        return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        return with_texts(pairs).mapInArrow(_confirm(threshold_pct), "a long, b long")
+
+    def differences(pairs: DataFrame) -> DataFrame:
+        read = with_texts(pairs.select(F.col("c").alias("a"), F.col("id").alias("b")))
+        return read.mapInArrow(_differences, "c long, id long, n_c long, n long, d array<long>")
 
-    labels = link_buckets(scratch, buckets, cheap, reps.select("id", "sketch"), verify)
+    labels = link_sets(scratch, buckets, passing, confirm, differences, threshold_pct)
     # Components by class, then the smallest doc_id of all members.
     roots = classes.join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     lowest = roots.groupBy("root").agg(F.min("low").alias("component_id"))
