@@ -36,17 +36,17 @@ def link_sets(
     """(id, root) of linked ids. buckets(key, id) has each id once a key at most; passing(pairs(a, b)) drops pairs whose
     estimate is too low, confirm(pairs(a, b)) keeps the true links, differences(pairs(c, id)) gives (c, id, n_c, n, d)
     with the sizes of both sets and their symmetric difference."""
-    stats = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
-    stats = scratch.save(stats.where("n > 1"), "buckets")
-    many = stats.where("n > 2").select(F.col("key").alias("_key"), "n")
-    hot = scratch.save(buckets.join(many, buckets["key"] == many["_key"]).select("key", "id", "n"), "hot")
+    several = buckets.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")).where("n > 1")
+    shared = scratch.save(buckets.join(several, buckets["key"] == several["_key"]).select("key", "id", "n"), "buckets")
+    hot = shared.where("n > 2")
+    twos = shared.where("n = 2").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"))
     degree = hot.groupBy("id").agg(F.sum("n").alias("degree"))
     ranked = hot.select("key", "id").join(degree, "id")
     centre = ranked.groupBy(F.col("key").alias("_key")).agg(F.max(F.struct("degree", (-F.col("id")).alias("neg"), "id")).alias("best"))
     centre = centre.select("_key", F.col("best.id").alias("c"))
     star = hot.join(centre, hot["key"] == centre["_key"]).where("id <> c").select("c", "id").distinct()
     star = scratch.save(star, "star")
-    direct = stats.where("n = 2").select("a", "b").union(star.select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")))
+    direct = twos.select("a", "b").union(star.select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")))
     labels = components(scratch, scratch.save(confirm(passing(direct.distinct())), "links"))
 
     # Groups whose members are not all in one component.
