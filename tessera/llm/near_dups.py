@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.prefilter import semi_join
 from tessera.llm.set_linking import link_sets
 from tessera.plans.scratch import Scratch
 
@@ -184,8 +185,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def with_texts(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs, "to-read")
-        wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-        texts = scratch.save(rows.select("row", "text").join(wanted, "row", "left_semi").dropDuplicates(["row"]), "texts")
+        wanted = scratch.save(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "wanted")
+        texts = scratch.save(semi_join(rows.select("row", "text"), wanted, "row").dropDuplicates(["row"]), "texts")
         ta = texts.select(F.col("row").alias("a"), F.col("text").alias("ta"))
         tb = texts.select(F.col("row").alias("b"), F.col("text").alias("tb"))
         return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
