@@ -10,17 +10,22 @@ BITS = 2**25
 _PART = 32_768  # bits of one bitmap_construct_agg
 
 
-def semi_join(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """rows whose key (a 64-bit hash) is in wanted(key), all columns kept; null keys go.
+def possible(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """rows whose key is in wanted(key), and a share of the others (1 - exp(-wanted / BITS)); null keys go.
 
-    One bit per wanted key modulo BITS is broadcast; the rows that it lets through, wanted ones and a share of others
-    (1 - exp(-wanted / BITS)), are then joined exactly. With very many keys all rows pass and only the exact join counts.
+    One bit per wanted key, hashed to BITS, is broadcast. With very many wanted keys all rows pass.
     """
-    at = F.pmod(F.col(key), F.lit(BITS))
-    bits = wanted.select(at.alias("_at")).groupBy((F.col("_at") / _PART).cast("int").alias("_part"))
+    at = F.pmod(F.xxhash64(F.col(key)), F.lit(BITS))
+    bits = wanted.where(F.col(key).isNotNull()).select(at.alias("_at")).groupBy((F.col("_at") / _PART).cast("int").alias("_part"))
     bits = bits.agg(F.bitmap_construct_agg(F.col("_at") % _PART).alias("_bits"))
-    placed = rows.withColumns({"__at": at % _PART, "__part": (at / _PART).cast("int")})
+    placed = rows.where(F.col(key).isNotNull()).withColumn("__hash", at)
+    placed = placed.withColumns({"__at": F.col("__hash") % _PART, "__part": (F.col("__hash") / _PART).cast("int")})
     byte = F.conv(F.hex(F.substring("_bits", (F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.expr("shiftright(__byte, cast(__at % 8 as int)) & 1") == 1
     some = placed.join(F.broadcast(bits), placed["__part"] == bits["_part"]).withColumn("__byte", byte).where(hit)
-    return some.select(*rows.columns).join(wanted, key, "left_semi")
+    return some.select(*rows.columns)
+
+
+def semi_join(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """rows whose key is in wanted(key), all columns kept; null keys go. The rows that the bitmap lets through are joined exactly."""
+    return possible(rows, wanted, key).join(wanted, key, "left_semi")
