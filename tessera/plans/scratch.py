@@ -39,6 +39,10 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def sweep(self) -> None:
+        """Lets the driver collect garbage, upon which Spark deletes the shuffle files of steps whose tables are saved."""
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             self._delete(t._scratch_path)
