@@ -10,20 +10,26 @@ BITS = 2**25
 _PART = 32_768  # bits of one bitmap_construct_agg
 
 
-def possible(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """rows whose key is in wanted(key), and a share of the others (1 - exp(-wanted / BITS)); null keys go.
+def mark_possible(rows: DataFrame, wanted: DataFrame, key: str, mark: str) -> DataFrame:
+    """rows with the boolean column ``mark``: true where the key is in wanted(key), and for a share of the others
+    (1 - exp(-wanted / BITS)); false for null keys.
 
-    One bit per wanted key, hashed to BITS, is broadcast. With very many wanted keys all rows pass.
+    One bit per wanted key, hashed to BITS, is broadcast. With very many wanted keys all rows are marked.
     """
     at = F.pmod(F.xxhash64(F.col(key)), F.lit(BITS))
     bits = wanted.where(F.col(key).isNotNull()).select(at.alias("_at")).groupBy((F.col("_at") / _PART).cast("int").alias("_part"))
     bits = bits.agg(F.bitmap_construct_agg(F.col("_at") % _PART).alias("_bits"))
-    placed = rows.where(F.col(key).isNotNull()).withColumn("__hash", at)
+    placed = rows.withColumn("__hash", at)
     placed = placed.withColumns({"__at": F.col("__hash") % _PART, "__part": (F.col("__hash") / _PART).cast("int")})
     byte = F.conv(F.hex(F.substring("_bits", (F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.expr("shiftright(__byte, cast(__at % 8 as int)) & 1") == 1
-    some = placed.join(F.broadcast(bits), placed["__part"] == bits["_part"]).withColumn("__byte", byte).where(hit)
-    return some.select(*rows.columns)
+    bit = F.expr("shiftright(__byte, cast(__at % 8 as int)) & 1") == 1
+    met = placed.join(F.broadcast(bits), placed["__part"] == bits["_part"], "left").withColumn("__byte", byte)
+    return met.select(*rows.columns, (F.coalesce(bit, F.lit(False)) & F.col(key).isNotNull()).alias(mark))
+
+
+def possible(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows that mark_possible() marks."""
+    return mark_possible(rows, wanted, key, "__hit").where("__hit").select(*rows.columns)
 
 
 def semi_join(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
