@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +42,12 @@ class Scratch:
         return out
 
     def sweep(self) -> None:
-        """Lets the driver collect garbage, upon which Spark deletes the shuffle files of steps whose tables are saved."""
+        """Lets the driver collect garbage, upon which Spark deletes the shuffle files of steps whose tables are saved.
+
+        The plan of the last step is free only when the listeners have seen its end, shortly after its table is written.
+        """
+        gc.collect()
+        time.sleep(0.3)
         self.spark._jvm.System.gc()
 
     def drop(self, *tables: DataFrame) -> None:
