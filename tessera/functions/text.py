@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ast
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Kinds by prefix.
 KINDS = {
@@ -14,6 +19,17 @@ KINDS = {
 }
 #: Fixed value: the punctuation that separates tokens, white space included.
 PUNCTUATION = r"(?U)[.,。、:：;；!?！？\-_()（）「」『』`\"'\[\]{}*#>|/\\\s]+"
+#: Fixed value: what a normal specification text leaves out.
+SPEC_PUNCTUATION = r"(?U)[\s.,。、:：\-_()（）「」『』`\"']"
+#: Tokens that count as a branch.
+BRANCHES = (
+    "if", "elif", "else", "for", "while", "switch", "case", "catch", "except", "try", "match", "when",
+    "guard", "yield", "async", "await", "return", "break", "continue",
+)
+BRANCH_SIGNS = ("&&", "||", "?", "=>")
+#: Likeness from which two texts say the same, and two contracts.
+SAME, SAME_CONTRACT = 0.85, 0.5
+LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def kind_prefix(kind: Column) -> Column:
@@ -34,8 +50,9 @@ def tokens(text: Column) -> Column:
     """Set of words and of 2-grams over the text without spaces; a one-character text has only its word."""
     clean = F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, " "))
     words = F.filter(F.split(clean, " "), lambda w: w != "")
-    solid = F.replace(clean, F.lit(" "), F.lit(""))
-    grams = F.when(F.length(solid) > 1, F.transform(F.sequence(F.lit(1), F.length(solid) - 1), lambda i: F.substring(solid, i, 2))).otherwise(F.array().cast("array<string>"))
+    letters = F.split(F.replace(clean, F.lit(" "), F.lit("")), "")
+    n = F.size(letters) - 1
+    grams = F.zip_with(F.slice(letters, F.lit(1), F.greatest(n, F.lit(0))), F.slice(letters, F.lit(2), F.greatest(n, F.lit(0))), lambda a, b: F.concat(a, b))
     return F.array_distinct(F.concat(words, grams))
 
 
@@ -48,36 +65,97 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(high == 0, 1.0).when(low == 0, 0.0).otherwise(F.greatest(jaccard, overlap))
 
 
+def alike(a: Column, b: Column) -> Column:
+    """Likeness of two texts; null counts as empty."""
+    return similarity(tokens(a), tokens(b))
+
+
+def says_the_same(a: Column, b: Column, least: float = SAME) -> Column:
+    return alike(a, b) >= least
+
+
 def normal_spec(text: Column) -> Column:
-    """Lower-cased without spaces and punctuation, for comparing specifications."""
-    return F.regexp_replace(F.lower(text), PUNCTUATION, "")
+    """Lower-cased without spaces and punctuation, for comparing specifications; null is empty."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SPEC_PUNCTUATION, "")
+
+
+_LITERALS = r"'(?:\\[^\n]|[^\\'])*'|\"(?:\\[^\n]|[^\\\"])*\""
 
 
 def strip_c_comments(code: Column) -> Column:
-    """Code without // and /* */ comments, string literals kept; lines trimmed, blank ones dropped."""
-    bare = F.regexp_replace(code, r"(?s)(\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*')|//[^\n]*|/\*.*?\*/", "$1")
-    return _tidy(bare)
+    """Code with a space for each // or /* */ comment, string literals kept; lines trimmed, blank ones dropped."""
+    parts = F.regexp_extract_all(F.coalesce(code, F.lit("")), F.lit(rf"(?s)//[^\n]*|/\*.*?\*/|{_LITERALS}|[^'\"/]+|."), F.lit(0))
+    bare = F.transform(parts, lambda p: F.when(p.rlike(r"^/[/*]"), F.lit(" ")).otherwise(p))
+    return _lines(F.array_join(bare, ""))
 
 
 def strip_hash_comments(code: Column) -> Column:
-    """Code without # comments, string literals kept; lines trimmed, blank ones dropped."""
-    return _tidy(F.regexp_replace(code, r"(\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*')|#[^\n]*", "$1"))
+    """Code with a space for each # comment; string literals kept, triple-quoted ones too; lines trimmed, blank ones dropped."""
+    triple = r"\"\"\".*?\"\"\"|'''.*?'''"
+    parts = F.regexp_extract_all(F.coalesce(code, F.lit("")), F.lit(rf"(?s)#[^\n]*|{triple}|{_LITERALS}|[^'\"#]+|."), F.lit(0))
+    return _lines(F.array_join(F.transform(parts, lambda p: F.when(p.startswith("#"), F.lit(" ")).otherwise(p)), ""))
+
+
+def _lines(code: Column) -> Column:
+    lines = F.transform(F.split(code, LINE_ENDS), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+@F.pandas_udf(StringType())
+def _python_logic(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Source of the syntax tree, which has no comments; null where the text is not valid Python."""
+
+    def one(code):
+        try:
+            return ast.unparse(ast.parse(code or "")).strip()
+        except (SyntaxError, ValueError, RecursionError):
+            return None
 
+    for codes in parts:
+        yield codes.map(one)
 
-def _tidy(code: Column) -> Column:
-    return F.array_join(F.filter(F.transform(F.split(code, "\n"), lambda x: F.btrim(x)), lambda x: x != ""), "\n")
+
+def strip_python_comments(code: Column) -> Column:
+    """By the syntax tree; text that is not valid Python loses its # comments."""
+    return F.coalesce(_python_logic(code), strip_hash_comments(code))
 
 
 def symbol_hash(signature: Column, doc: Column, code: Column) -> Column:
-    return F.sha2(F.btrim(F.concat_ws("\n", F.coalesce(signature, F.lit("")), F.coalesce(doc, F.lit("")), F.coalesce(code, F.lit("")))), 256)
+    """SHA-256 of signature, doc and code."""
+    return _sha(F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in (signature, doc, code)]))
+
+
+def logic_hash(signature: Column, stripped: Column) -> Column:
+    """SHA-256 of the signature and the code without comments."""
+    return _sha(F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in (signature, stripped)]))
+
+
+def _sha(text: Column) -> Column:
+    return F.sha2(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), 256)
+
 
+def count_lines(text: Column) -> Column:
+    """Lines of a text; an end of line at the very end begins no further one."""
+    return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size(F.split(F.regexp_replace(text, f"(?:{LINE_ENDS})\\z", ""), LINE_ENDS)))
 
-def complexity(code: Column, callees: Column, params: Column, lines: Column) -> Column:
-    """max(1, 1 + .5 branches + .3 callees + .2 parameters + .05 lines)."""
-    branches = F.regexp_count(code, F.lit(r"\b(if|elif|else|for|while|case|catch|except|switch|when)\b"))
-    return F.greatest(F.lit(1.0), 1 + 0.5 * branches + 0.3 * callees + 0.2 * params + 0.05 * lines)
+
+def complexity(code: Column, callees: Column, params: Column) -> Column:
+    """max(1, 1 + .5 branches + .3 callees + .2 parameters + .05 lines); without code 1."""
+    signs = "|".join("".join("\\" + c for c in s) for s in BRANCH_SIGNS)
+    branches = F.regexp_count(code, F.lit(rf"\b(?:{'|'.join(BRANCHES)})\b|{signs}"))
+    value = F.greatest(F.lit(1.0), 1 + 0.5 * branches + 0.3 * callees + 0.2 * params + 0.05 * count_lines(code))
+    return F.when(F.coalesce(code, F.lit("")) == "", 1.0).otherwise(value)
+
+
+def list_to_json(items: Column) -> Column:
+    return F.coalesce(F.to_json(items), F.lit("[]"))
 
 
 def list_from_json(text: Column) -> Column:
     """A JSON list of strings; bad or missing input gives the empty list."""
     return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
+def first_filled(*cols: Column) -> Column:
+    """The first of the texts that is neither null nor empty; else empty."""
+    return F.coalesce(*[F.when(c != "", c) for c in cols], F.lit(""))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,29 +18,68 @@ def boundary(text: Column, max_items: int) -> Column:
 
 def hash_chunks(items: DataFrame, group: str, order: str, text: str, max_items: int = 15) -> DataFrame:
     """items plus ``chunk``: the number of boundaries before each item of its group."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return items.withColumn("chunk", F.coalesce(F.sum(boundary(F.col(text), max_items).cast("long")).over(w), F.lit(0)).cast("long"))
+    return boundaries_before(items.withColumn("_cut", boundary(F.col(text), max_items)), group, order).drop("_cut")
 
 
-def capped_chunks(items: DataFrame, group: str, order: str, text: str, max_items: int = 15, max_chars: int = 3500, stable: bool = False) -> DataFrame:
-    """(group, order, chunk) of an ordered fold: a chunk closes before an item that would pass a cap, and, if stable,
-    after an item with a boundary hash. An item above max_chars stands alone. The fold runs over sizes, not texts."""
-    cut = boundary(F.col(text), max_items) if stable else F.lit(False)
-    size = F.length(F.coalesce(F.col(text), F.lit("")))
-    rows = items.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), size.cast("long").alias("n"), cut.alias("cut")))).alias("xs"))
-    start = F.struct(F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("items"), F.lit(0).cast("long").alias("chars"), F.lit(False).alias("close"), F.array().cast("array<bigint>").alias("out"))
+#: Ranges of the order column into which groups are cut, so that a large group is not one task.
+RANGES = 32
+
 
-    def step(s: Column, x: Column) -> Column:
-        new = (s["items"] > 0) & (s["close"] | (s["items"] >= max_items) | (s["chars"] + x["n"] > max_chars))
-        k = F.when(new, s["k"] + 1).otherwise(s["k"])
-        return F.struct(
-            k.alias("k"), F.when(new, F.lit(1)).otherwise(s["items"] + 1).cast("long").alias("items"), F.when(new, x["n"]).otherwise(s["chars"] + x["n"]).alias("chars"),
-            x["cut"].alias("close"), F.concat(s["out"], F.array(k)).alias("out"),
-        )
+def boundaries_before(items: DataFrame, group: str, order: str) -> DataFrame:
+    """items(group, order number, _cut) plus ``chunk``, the cuts before each item of its group.
 
-    folded = rows.select(group, "xs", F.aggregate("xs", start, step, lambda s: s["out"]).alias("ks"))
-    each = folded.select(group, F.explode(F.arrays_zip(F.col("xs"), F.col("ks"))).alias("z"))
-    return each.select(group, F.col("z.xs.o").alias(order), F.col("z.ks").alias("chunk"))
+    A running sum in two steps: per group and range of the order column, then on top the sums of the group's earlier
+    ranges, at most RANGES rows a group. Only the range borders, at most RANGES numbers, reach the driver.
+    """
+    borders = sorted(set(items.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.01)))
+    at = sum((F.when(F.col(order) > b, 1).otherwise(0) for b in borders), F.lit(0))
+    rows = items.withColumn("_range", at)
+    totals = rows.groupBy(group, "_range").agg(F.sum(F.col("_cut").cast("long")).alias("_n"))
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    local = Window.partitionBy(group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_local", F.coalesce(F.sum(F.col("_cut").cast("long")).over(local), F.lit(0)))
+    out = rows.join(totals, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return out.withColumn("chunk", (F.col("_local") + F.col("_before")).cast("long")).drop("_range", "_g", "_r", "_local", "_before")
+
+
+def capped_chunks(items: DataFrame, group: str, order: str, text: str, max_items: int = 15, max_chars: int = 3500, stable: bool = False) -> DataFrame:
+    """(group, order, chunk) of an ordered fold: a chunk closes before an item that would pass a cap, and, if stable,
+    after an item with a boundary hash. An item above max_chars stands alone.
+
+    The fold depends on all items before, so a group is one task, which sees sizes alone, in order, and holds one chunk's
+    counters. Between two boundary hashes a run stands for itself; with ``stable`` runs, not groups, are dealt out.
+    """
+    size = F.length(F.coalesce(F.col(text), F.lit(""))).cast("long")
+    cols = [F.col(group), F.col(order).cast("long").alias("_o"), size.alias("_n")]
+    if stable:
+        cut = items.withColumn("_cut", boundary(F.col(text), max_items))
+        rows = boundaries_before(cut, group, order).select(*cols, F.col("chunk").alias("_run"))
+    else:
+        rows = items.select(*cols, F.lit(0).cast("long").alias("_run"))
+    kind = items.schema[group].dataType.simpleString()
+
+    def fold(batches):
+        last, k, n, chars = None, 0, 0, 0
+        for batch in batches:
+            groups, runs, sizes, out = batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(2).to_pylist(), []
+            for g, r, c in zip(groups, runs, sizes, strict=True):
+                if (g, r) != last:
+                    last, k, n, chars = (g, r), 0, 0, 0
+                elif n >= max_items or chars + c > max_chars:
+                    k, n, chars = k + 1, 0, 0
+                n, chars = n + 1, chars + c
+                out.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out, pa.int64())], names=["g", "o", "run", "k"])
+
+    rows = rows.repartition(group, "_run").sortWithinPartitions(group, "_run", "_o")
+    folded = rows.mapInArrow(fold, f"g {kind}, o long, run long, k long")
+    if stable:
+        ends = folded.groupBy("g", "run").agg((F.max("k") + 1).alias("n"))
+        before = Window.partitionBy("g").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(F.col("g").alias("_g"), F.col("run").alias("_run"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+        folded = folded.join(ends, F.col("g").eqNullSafe(F.col("_g")) & (F.col("run") == F.col("_run"))).withColumn("k", F.col("k") + F.col("first"))
+    return folded.select(F.col("g").alias(group), F.col("o").alias(order), F.col("k").alias("chunk"))
 
 
 def power_sums(x: Column, y: Column) -> list[Column]:
@@ -86,26 +126,16 @@ def cold_flags(events: DataFrame, key: str, ts: str, tie: str, idle_s: int = 60)
     return events.withColumn("is_cold", gap.isNull() | (gap > idle_s * 1_000_000))
 
 
-def ema(values: DataFrame, key: str, order: list[str], value: str, old: float = 0.7, digits: int = 4) -> DataFrame:
-    """(key, ema): 0.7 old + 0.3 new in order, rounded at every step."""
-    rows = values.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("v")))).alias("xs"))
+def cold_starts(events: DataFrame, key: str, order: list[str], seconds: str, old: float = 0.7, digits: int = 2) -> DataFrame:
+    """(key, cold, most_cold) of the cold events(is_cold): 0.7 old + 0.3 new in order, rounded at every step, and the
+    longest. One number a cold start is kept in order; there are few, as each follows an idle time."""
+    value = F.greatest(F.col(seconds).cast("double"), F.lit(0.01))
+    rows = events.where("is_cold").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, value.alias("v")))).alias("xs"), F.max(F.bround(value, digits)).alias("most_cold"))
     none = F.lit(None).cast("double")
     fold = F.aggregate("xs", none, lambda s, x: F.bround(F.when(s.isNull(), x["v"]).otherwise(old * s + (1 - old) * x["v"]), digits))
-    return rows.select(key, fold.alias("ema"))
+    return rows.select(key, fold.alias("cold"), "most_cold")
 
 
 def last_n(events: DataFrame, key: str, order: list, n: int) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
     return events.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
-
-
-def pattern_scores(docs: DataFrame, id_col: str, text_col: str, patterns: list[tuple[str, str, int, str]]) -> DataFrame:
-    """(id, one long a class): weighted counts of (class, label, weight, regex); all patterns in one projection."""
-    classes = list(dict.fromkeys(p[0] for p in patterns))
-    cols = [sum((w * F.regexp_count(F.col(text_col), F.lit(f"(?i){rx}")) for c, _, w, rx in patterns if c == k), F.lit(0)).cast("long").alias(f"{k}_score") for k in classes]
-    return docs.select(id_col, *cols)
-
-
-def decide(gui: Column, tui: Column, cli: Column) -> Column:
-    """CLI, GUI, TUI or Library from the three scores."""
-    return F.when((cli > 0) & ((cli >= gui) | (gui == 0)), "CLI").when(gui > tui, "GUI").when((tui > 0) & (tui >= cli), "TUI").otherwise("Library")

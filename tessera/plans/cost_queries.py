@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import reduce as R
-from tessera.operators.search import first_per_key
 from tessera.plans.catalog import query
 from tessera.session import table
 
@@ -33,26 +32,6 @@ def chunks_stable(spark, d):
     return R.capped_chunks(table(spark, d, "documents"), "source", "doc_id", "text", stable=True)
 
 
-@query("""SELECT host AS module, CAST(count(*) AS BIGINT) AS n, CAST(min(page_id) AS BIGINT) AS first_id FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages) GROUP BY 1""")
-def module_groups(spark, d):
-    p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("module"))
-    return p.groupBy("module").agg(F.count("*").alias("n"), F.min("page_id").alias("first_id"))
-
-
-_PATTERNS = [("gui", "article", 2, "<article"), ("gui", "nav", 2, "<nav"), ("tui", "table", 2, "<table"), ("tui", "script", 2, "<script"), ("cli", "list", 3, "<li>"), ("cli", "comment", 3, "<!-- ")]
-
-
-def _count_sql(k: str) -> str:
-    return " + ".join(f"{w} * len(regexp_extract_all(html, '(?i){rx}'))" for c, _, w, rx in _PATTERNS if c == k)
-
-
-@query(f"""WITH s AS (SELECT page_id, CAST({_count_sql('gui')} AS BIGINT) AS gui_score, CAST({_count_sql('tui')} AS BIGINT) AS tui_score, CAST({_count_sql('cli')} AS BIGINT) AS cli_score FROM pages)
- SELECT CAST(page_id AS BIGINT) AS page_id, gui_score, tui_score, cli_score, CASE WHEN cli_score > 0 AND (cli_score >= gui_score OR gui_score = 0) THEN 'CLI' WHEN gui_score > tui_score THEN 'GUI' WHEN tui_score > 0 AND tui_score >= cli_score THEN 'TUI' ELSE 'Library' END AS decision FROM s""")
-def pattern_scores(spark, d):
-    s = R.pattern_scores(table(spark, d, "pages"), "page_id", "html", _PATTERNS)
-    return s.withColumn("decision", R.decide(F.col("gui_score"), F.col("tui_score"), F.col("cli_score")))
-
-
 @query("SELECT " + ", ".join([f"round(sum(pow(x, {p})) / 1e6, 3) AS sx{p}" for p in range(5)] + [f"round(sum(y * pow(x, {p})) / 1e9, 3) AS sy{p}" for p in range(4)])
        + " FROM (SELECT greatest(l_quantity, 1.0) AS x, greatest(l_extendedprice, 0.01) AS y FROM lineitem)")
 def poly_power_sums(spark, d):
@@ -71,9 +50,12 @@ def cold_start_flags(spark, d):
     return R.cold_flags(table(spark, d, "events"), "user_id", "ts", "event_id").select("event_id", F.col("is_cold").cast("long").alias("is_cold"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 60000000, true) AS cold FROM events) WHERE cold),
+ f(user_id, r, e) AS (SELECT user_id, r, round_even(greatest(value, 0.01), 2) FROM c WHERE r = 1 UNION ALL SELECT c.user_id, c.r, round_even(0.7 * f.e + 0.3 * greatest(c.value, 0.01), 2) FROM f JOIN c ON c.user_id = f.user_id AND c.r = f.r + 1)
+ SELECT CAST(f.user_id AS BIGINT) AS user_id, arg_max(e, f.r) AS cold, max(round_even(greatest(value, 0.01), 2)) AS most_cold FROM f JOIN c ON c.user_id = f.user_id AND c.r = f.r GROUP BY f.user_id""")
 def cold_ema(spark, d):
-    return R.ema(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value")
+    events = R.cold_flags(table(spark, d, "events"), "user_id", "ts", "event_id")
+    return R.cold_starts(events, "user_id", ["ts", "event_id"], "value")
 
 
 @query("SELECT CAST(event_id AS BIGINT) AS event_id, CAST(user_id AS BIGINT) AS user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 50")
@@ -81,12 +63,6 @@ def last_n_samples(spark, d):
     return R.last_n(table(spark, d, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], 50).select("event_id", "user_id")
 
 
-@query("""SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS dirty, round(sum(o_totalprice) / 4 / 1e6, 3) AS eta FROM orders GROUP BY 1""")
-def eta_by_group(spark, d):
-    o = table(spark, d, "orders").groupBy("o_orderpriority")
-    return o.agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("dirty"), F.round(F.sum("o_totalprice") / 4 / 1e6, 3).alias("eta"))
-
-
 @query("""SELECT CAST(user_id AS BIGINT) AS user_id, CAST(count(*) AS BIGINT) AS sessions FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)
  WHERE before IS NULL OR epoch_us(ts) - epoch_us(before) >= 1800000000 GROUP BY 1""")
 def debounce_sessions(spark, d):
@@ -104,6 +80,3 @@ def dup_ordinals(spark, d):
     return table(spark, d, "customer").select("c_custkey", uid.alias("uid"))
 
 
-@query("SELECT CAST(o_custkey AS BIGINT) AS o_custkey, CAST(o_orderkey AS BIGINT) AS o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
-def arch_topk(spark, d):
-    return first_per_key(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"]).select("o_custkey", "o_orderkey")

@@ -49,26 +49,59 @@ def locate_ranked(spark, d):
     return search.locate(_symbols(spark, d), _cache(spark, d), _LOCATE).select("unique_id", "name", "rel_path", "score")
 
 
+_LOCATE_UI = "debug view 1"
+
+
+@query(f"""SELECT unique_id, name, CAST(score AS BIGINT) AS score FROM (SELECT *, {_score_sql(_LOCATE_UI)} + CASE WHEN regexp_matches(lower(name || ' ' || fqdn || ' ' || kind), 'button|view|compose|screen|dialog|activity|fragment|ui') THEN 15 ELSE 0 END
+ + CASE WHEN regexp_matches(signature, '(?i)composable|button|onclick|modifier|setonclicklistener') THEN 20 ELSE 0 END AS score
+ FROM (SELECT * REPLACE (CASE WHEN CAST(unique_id AS INT) % 3 = 0 THEN 'void onClick()' ELSE 'int f()' END AS signature, CASE WHEN CAST(unique_id AS INT) % 5 = 0 THEN 'View' ELSE kind END AS kind) FROM ({_SYMBOLS})) LEFT JOIN ({_CACHE}) USING (unique_id)) WHERE score > 0 ORDER BY score DESC, rel_path NULLS FIRST, line_start NULLS FIRST, unique_id LIMIT 10""")
+def locate_ui(spark, d):
+    i = F.col("unique_id").cast("int")
+    s = _symbols(spark, d).withColumns({"signature": F.when(i % 3 == 0, "void onClick()").otherwise("int f()"), "kind": F.when(i % 5 == 0, "View").otherwise(F.col("kind"))})
+    return search.locate(s, _cache(spark, d), _LOCATE_UI).select("unique_id", "name", "score")
+
+
 @query(f"""SELECT unique_id, name, purpose FROM ({_SYMBOLS}) LEFT JOIN ({_CACHE}) USING (unique_id)
  WHERE (lower(name) LIKE '%1%' OR lower(fqdn) LIKE '%1%' OR coalesce(lower(purpose) LIKE '%1%', false))
- AND (lower(kind) LIKE '%class%' OR lower(kind) LIKE '%type%' OR lower(kind) LIKE '%struct%' OR lower(kind) LIKE '%enum%' OR lower(kind) LIKE '%interface%' OR true)
  ORDER BY rel_path NULLS FIRST, line_start NULLS FIRST, unique_id LIMIT 30""")
 def search_keyword(spark, d):
     return search.keyword_search(_symbols(spark, d), _cache(spark, d), "1").select("unique_id", "name", "purpose")
 
 
-@query(f"""WITH s AS ({_SYMBOLS}), q(q) AS (VALUES ('Brand#11'), ('part 12'), ('no such thing')),
- t AS (SELECT q, unique_id, CASE WHEN unique_id = q OR fqdn = q OR name = q THEN 1 WHEN lower(fqdn) LIKE '%.' || lower(q) OR lower(fqdn) LIKE '%::' || lower(q) THEN 2
-  WHEN lower(fqdn) LIKE '%' || lower(q) || '%' OR lower(name) LIKE '%' || lower(q) || '%' THEN 3 END AS tier FROM s, q)
- SELECT q AS query, unique_id, CAST(tier AS BIGINT) AS tier FROM t WHERE tier = (SELECT min(tier) FROM t u WHERE u.q = t.q)""")
+@query(f"""SELECT unique_id, name, purpose FROM (SELECT *, list_extract(['FN_x', 'my Method', 'constructor', 'class'], CAST(unique_id AS INT) % 4 + 1) AS k FROM ({_SYMBOLS})) LEFT JOIN ({_CACHE}) USING (unique_id)
+ WHERE (contains(lower(name), '1') OR contains(lower(fqdn), '1') OR coalesce(contains(lower(purpose), '1'), false)) AND (contains(lower(k), 'func') OR contains(lower(k), 'method') OR contains(lower(k), 'fn'))
+ ORDER BY rel_path NULLS FIRST, line_start NULLS FIRST, unique_id LIMIT 30""")
+def search_kind_filter(spark, d):
+    """Of the kinds dealt over the symbols, two are of the function family; a constructor is not."""
+    kind = F.element_at(F.array(*map(F.lit, ("FN_x", "my Method", "constructor", "class"))), F.col("unique_id").cast("int") % 4 + 1)
+    return search.keyword_search(_symbols(spark, d).withColumn("kind", kind), _cache(spark, d), "1", "Functions").select("unique_id", "name", "purpose")
+
+
+#: A part by id, by name with blanks around, by the tail of a dotted name written with ``::``, by a substring that is only
+#: there with the dot, by one with a wildcard, and what is nowhere (a slash is no dot).
+_ASKED = ("7", "  7 ", "Brand#11", "BRAND#11::GREEN", "brand_11", "Brand#11/green", "no such thing")
+
+
+@query(f"""WITH s AS ({_SYMBOLS}), q(n, q, dot) AS (VALUES {', '.join(f"({i}, '{a.strip()}', '{a.strip().replace('::', '.')}')" for i, a in enumerate(_ASKED))}),
+ t AS (SELECT n, unique_id, rel_path, line_start, CASE WHEN unique_id = q OR fqdn = q OR fqdn = dot OR name = q THEN 1 WHEN fqdn ILIKE '%.' || dot OR fqdn ILIKE '%::' || q THEN 2
+  WHEN lower(fqdn) LIKE '%' || lower(dot) || '%' OR lower(name) LIKE '%' || lower(q) || '%' THEN 3 END AS tier FROM s, q)
+ SELECT CAST(n AS BIGINT) AS query, unique_id, CAST(tier AS BIGINT) AS tier FROM t WHERE tier = (SELECT min(tier) FROM t u WHERE u.n = t.n)""")
 def find_tiered(spark, d):
     s, out = _symbols(spark, d), None
-    for q in ("Brand#11", "part 12", "no such thing"):
-        one = search.find_tiered(s, q).select(F.lit(q).alias("query"), "unique_id", "tier")
+    for i, q in enumerate(_ASKED):
+        one = search.find_tiered(s, q).select(F.lit(i).cast("long").alias("query"), "unique_id", "tier")
         out = one if out is None else out.union(one)
     return out
 
 
+@query(f"""WITH s AS ({_SYMBOLS}), one AS (SELECT unique_id FROM s WHERE lower(fqdn) LIKE '%brand#11%' ORDER BY rel_path, line_start NULLS FIRST, unique_id LIMIT 1), e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey <> l_partkey)
+ SELECT unique_id, coalesce((SELECT string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) FROM e WHERE CAST(dst AS VARCHAR) = unique_id), '') AS callers, coalesce((SELECT string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) FROM e WHERE CAST(src AS VARCHAR) = unique_id), '') AS callees FROM one""")
+def impact_of_query(spark, d):
+    edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    out = search.impact_of(_symbols(spark, d), edges, "brand#11")
+    return out.select("unique_id", F.array_join("callers", ",").alias("callers"), F.array_join("callees", ",").alias("callees"))
+
+
 @query("""SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, CASE WHEN s_nationkey % 5 = 0 THEN 'fn' WHEN s_nationkey % 5 = 1 THEN 'type' WHEN s_nationkey % 5 = 2 THEN 'const' WHEN s_nationkey % 5 = 3 THEN 'var' ELSE 'sym' END AS prefix,
  s_name || ' (src/n' || s_nationkey || '.c:' || s_nationkey || ':' || CASE WHEN s_nationkey % 2 = 0 THEN s_nationkey ELSE s_nationkey + 5 END || ')' AS location FROM supplier""")
 def list_by_kind(spark, d):
