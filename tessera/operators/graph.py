@@ -2,24 +2,101 @@
 
 from __future__ import annotations
 
+from itertools import count
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.scratch import Scratch
 
-MAX_ROUNDS = 500
+#: A graph of up to so many edges (some 100 MB) is one task's work; a larger one is worked on in rounds over tables.
+SMALL = 2_000_000
+
+
+def components_and_levels(nodes: list, edges: list[tuple]) -> list[tuple]:
+    """(id, scc, level) of a graph in memory: Tarjan's algorithm with an explicit stack. A component is done after all that
+    it reaches, so its level, one above the highest of these, is known at once."""
+    out_of: dict = {n: [] for n in nodes}
+    for a, b in edges:
+        out_of[a].append(b)
+    index, low, comp, level, members, stack = {}, {}, {}, {}, {}, []
+    for root in nodes:
+        if root in index:
+            continue
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        work = [(root, iter(out_of[root]))]
+        while work:
+            node, rest = work[-1]
+            for other in rest:
+                if other not in index:
+                    index[other] = low[other] = len(index)
+                    stack.append(other)
+                    work.append((other, iter(out_of[other])))
+                    break
+                if other not in comp:
+                    low[node] = min(low[node], index[other])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == index[node]:
+                    group = []
+                    while not group or group[-1] != node:
+                        group.append(stack.pop())
+                    name = min(group)
+                    comp.update(dict.fromkeys(group, name))
+                    members[name] = group
+                    level[name] = max((level[comp[o]] + 1 for n in group for o in out_of[n] if comp[o] != name), default=0)
+    return [(n, comp[n], level[comp[n]]) for n in nodes]
+
+
+def _in_one_task(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, scc, level) by one task, which gets all nodes and edges."""
+    kind = nodes.schema["id"].dataType.simpleString()
+    none = F.lit(None).cast(kind)
+    rows = nodes.select("id", none.alias("src"), none.alias("dst")).unionByName(edges.select(none.alias("id"), "src", "dst"))
+
+    def run(batches):
+        all_nodes, all_edges, types = [], [], None
+        for batch in batches:
+            types = batch.schema.field(0).type
+            ids, a, b = (batch.column(i).to_pylist() for i in range(3))
+            all_nodes += [i for i in ids if i is not None]
+            all_edges += [(x, y) for x, y in zip(a, b, strict=True) if x is not None]
+        if types is not None:
+            found = components_and_levels(sorted(all_nodes), sorted(all_edges))
+            for i in range(0, len(found), 50_000):
+                part = found[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in part], types), pa.array([x[1] for x in part], types), pa.array([x[2] for x in part], pa.int64())], names=["id", "scc", "level"]
+                )
+
+    return rows.repartition(1).mapInArrow(run, f"id {kind}, scc {kind}, level long")
+
+
+def _clean(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Distinct nodes, distinct edges between them without loops, and whether they are small."""
+    live = scratch.save(nodes.select("id").where("id IS NOT NULL").distinct(), "nodes")
+    e = scratch.save(_within(edges.where("src <> dst").select("src", "dst").distinct(), live), "edges")
+    return live, e, live.count() + e.count() <= SMALL
 
 
 def scc(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, scc): the smallest id of each node's strongly connected component.
+    """(id, scc): the smallest id of each node's strongly connected component; edges to what is no node are left out."""
+    live, e, small = _clean(scratch, nodes, edges)
+    return _in_one_task(live, e).select("id", "scc") if small else _scc_in_rounds(scratch, live, e)
+
 
-    Rounds of: trim nodes without an open in- or out-edge (a component each), then colour every node with the smallest
-    id that reaches it and, within a colour, walk back from that id; what it reaches is its component.
+def _scc_in_rounds(scratch: Scratch, live: DataFrame, e: DataFrame) -> DataFrame:
+    """Rounds of: trim nodes without an open in- or out-edge (a component each), then colour every node with the smallest
+    id that reaches it and, within a colour, walk back from that id; what it reaches is its component. As many rounds as
+    it takes: a chain is trimmed from both ends.
     """
+    nodes = live
     done: list[DataFrame] = []
-    live = scratch.save(nodes.select("id").distinct(), "scc-nodes")
-    e = scratch.save(edges.where("src <> dst").select("src", "dst").distinct(), "scc-edges")
-    for _ in range(MAX_ROUNDS):
+    while True:
         inner = e.select(F.col("src").alias("id")).intersect(e.select(F.col("dst").alias("id")))
         loose = scratch.save(live.join(inner, "id", "left_anti"), "trim")
         if not loose.isEmpty():
@@ -37,8 +114,6 @@ def scc(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
         done.append(found.select("id", F.col("c").alias("scc")))
         live = scratch.save(live.join(found, "id", "left_anti"), "scc-nodes")
         e = scratch.save(_within(e, live), "scc-edges")
-    else:
-        raise RuntimeError(f"no fixpoint in {MAX_ROUNDS} rounds")
     out = done[0] if done else nodes.select("id", F.col("id").alias("scc")).limit(0)
     for d in done[1:]:
         out = out.union(d)
@@ -52,7 +127,7 @@ def _within(e: DataFrame, live: DataFrame) -> DataFrame:
 def _spread(scratch: Scratch, label: DataFrame, e: DataFrame) -> DataFrame:
     """The smallest label that reaches each node."""
     label = scratch.save(label, "label")
-    for _ in range(MAX_ROUNDS):
+    while True:
         come = e.join(label.toDF("src", "c2"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c2").alias("c2"))
         new = label.join(come, "id", "left").select("id", F.least("c", "c2").alias("c"), (F.col("c2") < F.col("c")).alias("moved"))
         new = scratch.save(new, "label")
@@ -60,18 +135,16 @@ def _spread(scratch: Scratch, label: DataFrame, e: DataFrame) -> DataFrame:
         label = new.select("id", "c")
         if moved:
             return label
-    raise RuntimeError(f"no fixpoint in {MAX_ROUNDS} rounds")
 
 
 def _reach(scratch: Scratch, roots: DataFrame, e: DataFrame) -> DataFrame:
     seen = front = scratch.save(roots, "reach")
-    for _ in range(MAX_ROUNDS):
+    while True:
         step = e.join(front.toDF("src", "c"), "src").select(F.col("dst").alias("id"), "c").distinct()
         front = scratch.save(step.join(seen.select("id"), "id", "left_anti"), "front")
         if front.isEmpty():
             return seen
         seen = scratch.save(seen.union(front), "reach")
-    raise RuntimeError(f"no fixpoint in {MAX_ROUNDS} rounds")
 
 
 def condensation(edges: DataFrame, comp: DataFrame) -> DataFrame:
@@ -81,22 +154,25 @@ def condensation(edges: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def levels(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, scc, level): longest path to a leaf over the condensation; 0 at leaves. Frontier rounds, one a level."""
-    comp = scratch.save(scc(scratch, nodes, edges), "scc")
-    dag = scratch.save(condensation(edges, comp), "dag")
-    open_c = comp.select("scc").distinct()
-    rank = None
-    for level in range(MAX_ROUNDS):
-        ready = scratch.save(open_c.join(dag.select(F.col("src").alias("scc")).distinct(), "scc", "left_anti"), f"ready-{level}")
-        if ready.isEmpty():
-            break
-        now = ready.select("scc", F.lit(level).cast("long").alias("level"))
-        rank = now if rank is None else rank.union(now)
-        open_c = scratch.save(open_c.join(ready, "scc", "left_anti"), "open")
-        dag = scratch.save(dag.join(ready.select(F.col("scc").alias("dst")), "dst", "left_anti").select("src", "dst"), "dag")
-    else:
-        raise RuntimeError(f"more than {MAX_ROUNDS} levels")
-    return comp.join(rank, "scc").select("id", "scc", "level")
+    """(id, scc, level): longest path to a leaf over the condensation; 0 at leaves."""
+    live, e, small = _clean(scratch, nodes, edges)
+    return _in_one_task(live, e) if small else _levels_in_rounds(scratch, live, e)
+
+
+def _levels_in_rounds(scratch: Scratch, live: DataFrame, e: DataFrame) -> DataFrame:
+    """One round a level: the components all of whose callees have one get theirs. One table a round holds all levels so far."""
+    comp = scratch.save(_scc_in_rounds(scratch, live, e), "scc")
+    dag = scratch.save(condensation(e, comp), "dag")
+    rank = scratch.save(comp.select("scc", F.lit(None).cast("long").alias("level")).distinct(), "rank")
+    level = 0
+    while True:
+        waiting = dag.join(rank.where("level IS NULL").select(F.col("scc").alias("dst")), "dst", "left_semi").select(F.col("src").alias("scc")).distinct()
+        ready = rank.where("level IS NULL").join(waiting, "scc", "left_anti").select("scc", F.lit(level).cast("long").alias("now"))
+        new = scratch.save(rank.join(ready, "scc", "left").select("scc", F.coalesce("level", "now").alias("level")), "rank")
+        scratch.drop(rank)
+        rank, level = new, level + 1
+        if rank.where("level IS NULL").isEmpty():
+            return comp.join(rank, "scc").select("id", "scc", "level")
 
 
 def propagate(scratch: Scratch, seeds: DataFrame, edges: DataFrame, stop: DataFrame | None = None) -> DataFrame:
@@ -104,11 +180,10 @@ def propagate(scratch: Scratch, seeds: DataFrame, edges: DataFrame, stop: DataFr
     seen = scratch.save(seeds.select("id", F.lit(0).cast("long").alias("hops")).distinct(), "dirty")
     front = seen
     e = edges.select(F.col("dst").alias("id"), F.col("src").alias("caller")).distinct()
-    for hop in range(1, MAX_ROUNDS):
+    for hop in count(1):
         pass_on = front if stop is None else front.join(stop.select("id"), "id", "left_anti")
         step = pass_on.join(e, "id").select(F.col("caller").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
         front = scratch.save(step.select("id", F.lit(hop).cast("long").alias("hops")), "front")
         if front.isEmpty():
             return seen
         seen = scratch.save(seen.union(front), "dirty")
-    raise RuntimeError(f"no fixpoint in {MAX_ROUNDS} rounds")

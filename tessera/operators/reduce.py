@@ -126,14 +126,16 @@ def cold_flags(events: DataFrame, key: str, ts: str, tie: str, idle_s: int = 60)
     return events.withColumn("is_cold", gap.isNull() | (gap > idle_s * 1_000_000))
 
 
-def cold_starts(events: DataFrame, key: str, order: list[str], seconds: str, old: float = 0.7, digits: int = 2) -> DataFrame:
-    """(key, cold, most_cold) of the cold events(is_cold): 0.7 old + 0.3 new in order, rounded at every step, and the
-    longest. One number a cold start is kept in order; there are few, as each follows an idle time."""
-    value = F.greatest(F.col(seconds).cast("double"), F.lit(0.01))
-    rows = events.where("is_cold").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, value.alias("v")))).alias("xs"), F.max(F.bround(value, digits)).alias("most_cold"))
-    none = F.lit(None).cast("double")
-    fold = F.aggregate("xs", none, lambda s, x: F.bround(F.when(s.isNull(), x["v"]).otherwise(old * s + (1 - old) * x["v"]), digits))
-    return rows.select(key, fold.alias("cold"), "most_cold")
+def cold_starts(events: DataFrame, key: str, order: list[str], seconds: str, old: str = "0.7", digits: int = 2) -> DataFrame:
+    """(key, cold, most_cold) of the cold events(is_cold): old * before + (1 - old) * now, in order, rounded at every step
+    to the even neighbour in decimals, and the longest. One number a cold start is kept in order; there are few, as each
+    follows an idle time."""
+    kind = f"decimal(20,{digits})"
+    value = F.bround(F.greatest(F.col(seconds).cast("double"), F.lit(0.01)), digits)
+    rows = events.where("is_cold").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, value.cast(kind).alias("v")))).alias("xs"), F.max(value).alias("most_cold"))
+    weight = F.lit(old).cast("decimal(5,4)")
+    step = lambda s, x: F.when(s.isNull(), x["v"]).otherwise(F.bround(weight * s + (1 - weight) * x["v"], digits).cast(kind))
+    return rows.select(key, F.aggregate("xs", F.lit(None).cast(kind), step).cast("double").alias("cold"), "most_cold")
 
 
 def last_n(events: DataFrame, key: str, order: list, n: int) -> DataFrame:

@@ -51,8 +51,9 @@ def cold_start_flags(spark, d):
 
 
 @query("""WITH RECURSIVE c AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 60000000, true) AS cold FROM events) WHERE cold),
- f(user_id, r, e) AS (SELECT user_id, r, round_even(greatest(value, 0.01), 2) FROM c WHERE r = 1 UNION ALL SELECT c.user_id, c.r, round_even(0.7 * f.e + 0.3 * greatest(c.value, 0.01), 2) FROM f JOIN c ON c.user_id = f.user_id AND c.r = f.r + 1)
- SELECT CAST(f.user_id AS BIGINT) AS user_id, arg_max(e, f.r) AS cold, max(round_even(greatest(value, 0.01), 2)) AS most_cold FROM f JOIN c ON c.user_id = f.user_id AND c.r = f.r GROUP BY f.user_id""")
+ v AS (SELECT user_id, r, CAST(round_even(greatest(value, 0.01) * 100, 0) AS BIGINT) AS x FROM c),
+ f(user_id, r, e) AS (SELECT user_id, r, x FROM v WHERE r = 1 UNION ALL SELECT v.user_id, v.r, t // 10 + CASE WHEN t % 10 > 5 OR (t % 10 = 5 AND t // 10 % 2 = 1) THEN 1 ELSE 0 END FROM f JOIN v ON v.user_id = f.user_id AND v.r = f.r + 1, LATERAL (SELECT 7 * f.e + 3 * v.x AS t))
+ SELECT CAST(f.user_id AS BIGINT) AS user_id, arg_max(e, f.r) / 100 AS cold, max(x) / 100 AS most_cold FROM f JOIN v ON v.user_id = f.user_id AND v.r = f.r GROUP BY f.user_id""")
 def cold_ema(spark, d):
     events = R.cold_flags(table(spark, d, "events"), "user_id", "ts", "event_id")
     return R.cold_starts(events, "user_id", ["ts", "event_id"], "value")
