@@ -26,7 +26,7 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     labels = nodes.select("id", F.col("id").alias("root"))
-    saved: list[DataFrame] = []
+    owned: list[DataFrame] = [pairs]
     live = pairs.where("a <> b")
     for _ in range(MAX_ROUNDS):
         parents = scratch.save(live.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root")), "parents")
@@ -38,17 +38,19 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             open_ends = parents.join(up, parents["root"] == up["_up"], "left_semi").isEmpty()
             if open_ends:
                 break
-            parents = scratch.save(_jump(parents), "jump")
-            saved.append(parents)
+            before, parents = parents, scratch.save(_jump(parents), "jump")
+            scratch.drop(before)
         p = parents.select(F.col("id").alias("_id"), F.col("root").alias("_to"))
-        labels = scratch.save(
-            labels.join(p, labels["root"] == p["_id"], "left").select("id", F.coalesce("_to", "root").alias("root")), "labels"
-        )
+        new = labels.join(p, labels["root"] == p["_id"], "left").select("id", F.coalesce("_to", "root").alias("root"))
+        labels = scratch.save(new, "labels")
         pa = p.select(F.col("_id").alias("_ia"), F.col("_to").alias("_ta"))
         moved = live.join(p, live["b"] == p["_id"]).select("a", F.col("_to").alias("b"))
         moved = moved.join(pa, moved["a"] == pa["_ia"], "left").select(F.coalesce("_ta", "a").alias("a"), "b")
         live = moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         live = scratch.save(live, "contracted")
+        # What this round read is read no more; the first round's edges also name the nodes until labels are a table.
+        scratch.drop(*owned, parents)
+        owned = [labels, live]
     else:
         raise RuntimeError(f"components did not converge in {MAX_ROUNDS} rounds")
     return labels

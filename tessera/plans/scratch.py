@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests, laptops) a local folder takes its place."""
+    """spark.checkpoint.dir of the session; only where it is unset and Spark runs in one process a local folder takes its place."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(folder)
@@ -31,11 +33,13 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
         self._n = 0
+        self._paths: set[str] = set()
         atexit.register(self._delete, self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n}-{name}"
+        self._paths.add(path)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
@@ -53,6 +57,14 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             self._delete(t._scratch_path)
+            self._paths.discard(t._scratch_path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes all tables but these, which a result still reads, and lets shuffle files go."""
+        for path in self._paths - {t._scratch_path for t in tables}:
+            self._delete(path)
+        self._paths = {t._scratch_path for t in tables}
+        self.sweep()
 
     def _delete(self, path: str) -> None:
         try:
