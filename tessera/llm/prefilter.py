@@ -15,15 +15,20 @@ def possible(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
     One bit per wanted key, hashed to BITS, is broadcast. With very many wanted keys all rows pass.
     """
+    return split(rows, wanted, key)[0]
+
+
+def split(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """What ``possible`` lets through, and the rows that surely are not in wanted; null keys are in neither."""
     at = F.pmod(F.xxhash64(F.col(key)), F.lit(BITS))
     bits = wanted.where(F.col(key).isNotNull()).select(at.alias("_at")).groupBy((F.col("_at") / _PART).cast("int").alias("_part"))
     bits = bits.agg(F.bitmap_construct_agg(F.col("_at") % _PART).alias("_bits"))
     placed = rows.where(F.col(key).isNotNull()).withColumn("__hash", at)
     placed = placed.withColumns({"__at": F.col("__hash") % _PART, "__part": (F.col("__hash") / _PART).cast("int")})
     byte = F.conv(F.hex(F.substring("_bits", (F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.expr("shiftright(__byte, cast(__at % 8 as int)) & 1") == 1
-    some = placed.join(F.broadcast(bits), placed["__part"] == bits["_part"]).withColumn("__byte", byte).where(hit)
-    return some.select(*rows.columns)
+    hit = F.coalesce(F.expr("shiftright(__byte, cast(__at % 8 as int)) & 1") == 1, F.lit(False))
+    met = lambda how: placed.join(F.broadcast(bits), placed["__part"] == bits["_part"], how).withColumn("__byte", byte)
+    return met("inner").where(hit).select(*rows.columns), met("left").where(~hit).select(*rows.columns)
 
 
 def semi_join(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
