@@ -173,6 +173,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch.save(classes, "classes")
     reps = some.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").dropDuplicates(["row"])
     reps = scratch.save(reps.select(F.col("row").alias("id"), "bands", "sketch"), "reps")
+    slim = scratch.save(signed.select("doc_id", "n_shingles", "sig"), "sizes")
+    scratch.drop(signed)
+    scratch.sweep()
     buckets = reps.select(F.explode(F.array_distinct("bands")).alias("key"), "id")
 
     def passing(pairs: DataFrame) -> DataFrame:
@@ -203,9 +206,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = classes.join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     lowest = roots.groupBy("root").agg(F.min("low").alias("component_id"))
     by_sig = roots.join(lowest, "root").select("sig", "component_id")
-    out = signed.select("doc_id", "n_shingles", "sig").join(by_sig, "sig", "left")
+    out = slim.join(by_sig, "sig", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = scratch.save(out, "result")
+    scratch.keep(out)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
