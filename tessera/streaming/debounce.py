@@ -21,3 +21,21 @@ def watch_folder(spark: SparkSession, folder: str, schema, action: Callable[[Dat
     """Runs ``action`` once per batch of new files; files that come meanwhile wait for the next one."""
     stream = spark.readStream.schema(schema).format(fmt).load(folder)
     return stream.writeStream.foreachBatch(action).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Watchers:
+    """One streaming query a folder; watching a folder again gives its running query."""
+
+    def __init__(self):
+        self.running: dict[str, object] = {}
+
+    def watch(self, spark: SparkSession, folder: str, schema, action: Callable[[DataFrame, int], None], checkpoint: str, fmt: str = "json"):
+        known = self.running.get(folder)
+        if known is None or not known.isActive:
+            known = self.running[folder] = watch_folder(spark, folder, schema, action, checkpoint, fmt)
+        return known
+
+    def stop(self, folder: str) -> None:
+        query = self.running.pop(folder, None)
+        if query is not None:
+            query.stop()
