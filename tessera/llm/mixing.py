@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.scratch import Scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST_PASSES = 1.5, 2
@@ -44,24 +46,28 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return s.withColumn("target", target).drop("most", "total", "level", "weight")
 
 
-NEAR = 2
+#: Sources up to which their plan is broadcast (some 10 MB); more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def sainte_lague(parties: DataFrame, by: str | None, party: str, votes: str, seats: str) -> DataFrame:
-    """parties plus integer ``won``: the ``seats`` of a group go to the highest quotients votes / (2 k + 1).
+    """parties plus integer ``won``: the ``seats`` of a group go to the highest quotients votes / (2 k + 1), ties by name.
 
-    A party surely has its exact share less NEAR seats; the seats from there to NEAR above it compete by quotient, ties
-    by name. Groups without votes get none.
+    With a lowest winning quotient t a party of v votes has floor(v / 2t + 1/2) seats, between v / 2t - 1/2 and v / 2t + 1/2.
+    Summed over the m parties of a group, 1 / 2t lies between (seats - m / 2) / votes and (seats + m / 2) / votes of the
+    group. So a party surely has the seats of the lower end and none beyond those of the upper end; only the quotients
+    between, about 3 m a group, compete. Groups without votes get none.
     """
     whole = Window.partitionBy(F.lit(0) if by is None else F.col(by))
-    share = F.try_divide(F.col(seats) * F.col(votes).cast("double"), F.sum(F.col(votes).cast("double")).over(whole))
-    p = parties.withColumn("_base", F.greatest(F.lit(0), F.floor(F.coalesce(share, F.lit(0))) - NEAR).cast("long"))
-    p = p.withColumn("_free", F.when(F.sum(votes).over(whole) > 0, F.col(seats) - F.sum("_base").over(whole)).otherwise(0))
-    p = p.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(2 * NEAR))))
-    quotient = F.col(votes) / (2 * (F.col("_base") + F.col("_k")) + 1)
-    p = p.withColumn("_rank", F.row_number().over(whole.orderBy(quotient.desc(), party, "_k")))
+    v = F.col(votes).cast("double")
+    p = parties.withColumns({"_all": F.sum(v).over(whole), "_m": F.count("*").over(whole)})
+    least = lambda d: F.floor(F.coalesce(F.try_divide(v * F.greatest(F.lit(0.0), F.col(seats) + d * F.col("_m") / 2), F.col("_all")), F.lit(0.0)) + 0.5)
+    p = p.withColumns({"_base": F.greatest(F.lit(0), least(-1.0) - 1).cast("long"), "_top": (least(1.0) + 1).cast("long")})
+    p = p.withColumn("_free", F.when(F.col("_all") > 0, F.col(seats) - F.sum("_base").over(whole)).otherwise(0))
+    p = p.withColumn("_k", F.explode(F.sequence(F.col("_base"), F.col("_top"))))
+    p = p.withColumn("_rank", F.row_number().over(whole.orderBy((v / (2 * F.col("_k") + 1)).desc(), party, "_k")))
     mine = [party] if by is None else [by, party]
-    won = p.groupBy(*mine).agg((F.first("_base") + F.count_if(F.col("_rank") <= F.col("_free"))).cast("long").alias("won"))
+    won = p.groupBy(*mine).agg(F.when(F.first("_all") > 0, F.first("_base") + F.count_if(F.col("_rank") <= F.col("_free"))).otherwise(0).cast("long").alias("won"))
     return parties.join(won, mine)
 
 
@@ -80,7 +86,8 @@ def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str =
         size_of(text_col).alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), F.col(source_col)).alias("row"),
     )
-    return _plan(rows, seed)
+    # Texts are read once: all later steps read this narrow table.
+    return _plan(Scratch(docs.sparkSession).save(rows, "sizes"), seed)
 
 
 def _plan(rows: DataFrame, seed: int) -> DataFrame:
@@ -91,6 +98,8 @@ def _plan(rows: DataFrame, seed: int) -> DataFrame:
     goal = goal.withColumn("_key", key).drop("source")
     seats = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / BLOCK_WORDS).cast("long")
     goal = sainte_lague(goal.withColumn("seats", seats), None, "_key", "target", "seats").withColumnRenamed("won", "blocks").drop("seats")
+    if goal.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        goal = F.broadcast(goal)
     placed = rows.withColumn("_key", key).join(goal, "_key")
     placed = placed.withColumn("shard", F.pmod(F.col("row"), F.col("shards")))
 
