@@ -56,20 +56,23 @@ def features(before: Column, value: Column, after: Column) -> dict[str, Column]:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, nth, start, before, value, after) of every candidate of every whole text; start counts from 0."""
+    """(doc_id, nth, start, before, value, after) of every candidate of every whole text; start counts from 0."""
     text = F.col(text_col).cast("string")
     rows = docs.where(text.rlike(CANDIDATE)).select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.xxhash64(F.col(id_col), text).alias("row"),
+        F.monotonically_increasing_id().alias("row"),
         F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("values"),
         F.split(text, CANDIDATE, -1).alias("between"),
     )
     each = rows.select("doc_id", "row", "between", F.posexplode("values").alias("nth", "value"))
-    each = each.select("doc_id", "row", "nth", "value", F.get("between", F.col("nth")).alias("before"), F.substring(F.get("between", F.col("nth") + 1), 1, CONTEXT).alias("after"))
-    each = each.select("doc_id", "row", "nth", "value", F.length("before").alias("gap"), F.expr(f"right(before, {CONTEXT})").alias("before"), "after")
-    so_far = Window.partitionBy("row", "doc_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.select(
+        "doc_id", "row", "nth", F.expr(f"right(get(between, nth), {CONTEXT})").alias("before"), "value",
+        F.substring(F.get("between", F.col("nth") + 1), 1, CONTEXT).alias("after"), F.length(F.get("between", F.col("nth"))).alias("gap"),
+    )
+    # Where each candidate starts: the lengths before it in its row, which is told by its number, not by id and text.
+    so_far = Window.partitionBy("row").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     start = F.sum(F.col("gap") + F.length("value")).over(so_far) - F.length("value")
-    return each.withColumn("start", start.cast("long")).drop("gap")
+    return each.withColumn("start", start.cast("long")).drop("gap", "row")
 
 
 def labelled_findings(seed: int = 11, n: int = 4000) -> list[tuple[str, str, str, int]]:
@@ -135,9 +138,22 @@ def _tree(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int):
     return f, t, _tree(x[left], y[left], rng, depth - 1), _tree(x[~left], y[~left], rng, depth - 1)
 
 
+def sample(findings: list[tuple[str, str, str, int]], seed: int, most: int = MAX_FINDINGS) -> list[tuple[str, str, str, int]]:
+    """At most ``most`` findings, drawn by label."""
+    if len(findings) <= most:
+        return list(findings)
+    rng, out = np.random.default_rng(seed), []
+    for label in (0, 1):
+        mine = [f for f in findings if f[3] == label]
+        share = min(len(mine), max(1, most * len(mine) // len(findings)))
+        out += [mine[i] for i in sorted(rng.choice(len(mine), share, replace=False))] if mine else []
+    return out
+
+
 def train(spark: SparkSession, findings: list[tuple[str, str, str, int]] | None = None, seed: int = 5) -> list:
-    """The forest, as nested (feature, threshold, at most, above) tuples; at most MAX_FINDINGS findings are used."""
-    rows = (labelled_findings() if findings is None else findings)[:MAX_FINDINGS]
+    """The forest, as nested (feature, threshold, at most, above) tuples. Of more than MAX_FINDINGS findings a seeded sample
+    is used that has both labels in the proportion of all, at least one of each."""
+    rows = sample(labelled_findings() if findings is None else findings, seed)
     df = spark.createDataFrame(rows, "before string, value string, after string, label int")
     cols = features(F.col("before"), F.col("value"), F.col("after"))
     data = np.array([list(r) for r in df.select(*cols.values(), F.col("label").cast("double")).collect()])
