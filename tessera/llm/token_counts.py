@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ class Counter:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.known: dict[str, int] = {}
+        self.inside: dict[str, list[int]] = {}
 
     def _piece(self, piece: str) -> int:
         """Tokens of one pre-token, by the library's own model."""
@@ -72,26 +74,42 @@ class Counter:
             at = end
         return np.array(ends, np.int64), np.array(counts, np.int64), "".join(whole)
 
-    def count(self, text: str) -> int:
-        """Tokens of the whole text."""
-        known, total, at = self.known, 0, 0
+    def counts(self, text: str) -> list[int]:
+        """The table's counts without its ends: tokens of the prefix that ends with each piece, in order."""
+        known, total, at, out = self.known, 0, 0, []
         for m in [*ADDED.finditer(text), None] if "<|" in text else [None]:
             pieces = SPLIT.findall(self._normal(text[at : m.start() if m else len(text)]))
             try:
-                total += sum(map(known.__getitem__, pieces))
+                out += accumulate(map(known.__getitem__, pieces), initial=total)
             except KeyError:
-                total += sum(map(self._piece, pieces))
+                out += accumulate(map(self._piece, pieces), initial=total)
             if m:
-                total += 1
+                out.append(out[-1] + 1)
                 at = m.end()
-        return total
+            total = out[-1]
+        return out
+
+    def count(self, text: str) -> int:
+        """Tokens of the whole text: the last of its prefix counts."""
+        return self.counts(text)[-1]
+
+    def _inner(self, piece: str) -> list[int]:
+        """Tokens of every prefix of a piece, by code points; worked out once a distinct piece."""
+        found = self.inside.get(piece)
+        if found is None:
+            if len(self.inside) >= CACHE_WORDS // 10:
+                self.inside.clear()
+            found = self.inside[piece] = [sum(map(self._piece, SPLIT.findall(piece[:k]))) for k in range(len(piece) + 1)]
+        return found
 
     def at(self, table: tuple[np.ndarray, np.ndarray, str], n_chars: int) -> int:
-        """Tokens of the first n_chars code points of the normal text, without encoding more than the piece cut there."""
+        """Tokens of the first n_chars code points of the normal text: the table's count before the piece cut there, and the
+        count of that piece's own prefix."""
         ends, counts, text = table
         i = bisect_right(ends, n_chars) - 1
-        rest = text[ends[i] : n_chars].strip()
-        return int(counts[i]) + (sum(map(self._piece, SPLIT.findall(rest))) if rest else 0)
+        m = SPLIT.search(text, int(ends[i]))
+        inside = n_chars - m.start() if m else 0
+        return int(counts[i]) + (self._inner(m.group())[inside] if inside > 0 else 0)
 
     def fit(self, table: tuple[np.ndarray, np.ndarray, str], limit: int) -> int:
         """Code points of the longest prefix of whole pieces with at most ``limit`` tokens."""
