@@ -150,7 +150,12 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold_pct: int = 75) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per document: doc_id, n_shingles, component_id, kept. See ``linked_rows``."""
+    return linked_rows(docs, id_col, text_col, threshold_pct).drop("row")
+
+
+def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold_pct: int = 75) -> DataFrame:
+    """One row per document: row (a hash of id and text), doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |A & B| >= threshold_pct * |A | B| over their sets of five-word shingles (words are
     runs other than ASCII white space, A-Z lower-cased). Documents of equal sets form a class by a 128-bit digest; one
@@ -173,7 +178,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch.save(classes, "classes")
     reps = some.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").dropDuplicates(["row"])
     reps = scratch.save(reps.select(F.col("row").alias("id"), "bands", "sketch"), "reps")
-    slim = scratch.save(signed.select("doc_id", "n_shingles", "sig"), "sizes")
+    slim = scratch.save(signed.select("row", "doc_id", "n_shingles", "sig"), "sizes")
     scratch.drop(signed)
     scratch.sweep()
     buckets = reps.select(F.explode(F.array_distinct("bands")).alias("key"), "id")
@@ -208,13 +213,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_sig = roots.join(lowest, "root").select("sig", "component_id")
     out = slim.join(by_sig, "sig", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = out.select("row", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
     out = scratch.save(out, "result")
     scratch.keep(out)
     return out
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that a smaller id of their group stands for; all columns stay."""
-    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    """docs without the rows that a smaller id of their group stands for; all columns stay. Of an id with several texts each
+    is judged on its own; rows that repeat id and text stay or go together."""
+    gone = linked_rows(docs, id_col, text_col).where(~F.col("kept")).select(F.col("row").alias("__gone")).distinct()
+    own = docs.withColumn("__own", F.xxhash64(F.col(id_col), F.col(text_col)))
+    return own.join(gone, own["__own"] == gone["__gone"], "left_anti").drop("__own")
