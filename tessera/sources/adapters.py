@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources import files
+from tessera.sources.braces import LANGUAGES, brace_symbols
 from tessera.sources.symbols import python_symbols, shell_symbols, with_unique_ids
 
 
@@ -53,5 +55,6 @@ class Registry:
 
 
 def default_registry() -> Registry:
-    """Python by syntax tree, shell by line."""
-    return Registry(Adapter("python", ("py",), "python", python_symbols), Adapter("shell", ("sh", "bash"), "bash", shell_symbols))
+    """Python by syntax tree, shell by line, brace languages by their heads."""
+    braces = [Adapter(name, files.LANGUAGES[name], name, brace_symbols) for name in LANGUAGES]
+    return Registry(Adapter("python", ("py",), "python", python_symbols), Adapter("shell", ("sh", "bash"), "bash", shell_symbols), *braces)
