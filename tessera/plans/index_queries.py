@@ -10,11 +10,11 @@ from tessera.plans.catalog import query
 from tessera.plans.scratch import Scratch
 from tessera.session import table
 
-# part as symbols; an aggregate of its large discounted line items as the cache, so that the left join misses too.
+# part as symbols; an aggregate of all line items as the cache, of the part one below, so that the left join misses too.
 _SYMBOLS = """SELECT CAST(p_partkey AS VARCHAR) AS unique_id, p_name AS name, p_type AS kind, p_brand || '.' || p_name AS fqdn,
  p_brand AS rel_path, p_size AS line_start, CAST(NULL AS VARCHAR) AS signature FROM part"""
-_CACHE = """SELECT CAST(l_partkey AS VARCHAR) AS unique_id, 'moves ' || max(l_returnflag) || ' ' || max(l_linestatus) AS purpose,
- 'lines ' || CAST(count(*) AS VARCHAR) AS overview FROM lineitem WHERE l_discount >= 0.09 AND l_quantity >= 48 GROUP BY l_partkey"""
+_CACHE = """SELECT CAST(l_partkey + 1 AS VARCHAR) AS unique_id, 'moves ' || max(l_returnflag) || ' ' || max(l_linestatus) AS purpose,
+ 'lines ' || CAST(count(*) AS VARCHAR) AS overview FROM lineitem GROUP BY l_partkey"""
 
 
 def _symbols(spark, d):
@@ -27,7 +27,7 @@ def _symbols(spark, d):
 
 
 def _cache(spark, d):
-    li = table(spark, d, "lineitem").where("l_discount >= 0.09 AND l_quantity >= 48").groupBy(F.col("l_partkey").cast("string").alias("unique_id"))
+    li = table(spark, d, "lineitem").groupBy((F.col("l_partkey") + 1).cast("string").alias("unique_id"))
     purpose = F.concat(F.lit("moves "), F.max("l_returnflag"), F.lit(" "), F.max("l_linestatus"))
     return li.agg(purpose.alias("purpose"), F.concat(F.lit("lines "), F.count("*").cast("string")).alias("overview"))
 
@@ -165,14 +165,30 @@ def impact_neighbors(spark, d):
     return out.select("id", text("callers"), text("callees"))
 
 
-@query("""WITH t AS (SELECT p_partkey AS id, p_name AS fqdn, p_brand AS name FROM part), c AS (SELECT p_partkey AS src, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'Brand#' || (p_partkey % 60) END AS callee FROM part WHERE p_partkey % 50 = 0),
- x AS (SELECT src, callee, id FROM c JOIN t ON fqdn = callee), y AS (SELECT src, callee, id FROM c JOIN t ON name = callee WHERE (src, callee) NOT IN (SELECT (src, callee) FROM x))
- SELECT DISTINCT CAST(src AS BIGINT) AS src, CAST(id AS BIGINT) AS dst FROM (SELECT * FROM x UNION SELECT * FROM y) WHERE src <> id""")
+@query("""WITH t AS (SELECT p_partkey AS id, p_name AS fqdn, p_brand || '-' || p_size AS name, 't' || (p_partkey // 40) AS tail FROM part),
+ c AS (SELECT p_partkey AS src, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'Brand#' || (p_partkey % 60) || '-' || p_size WHEN 2 THEN 't' || (p_partkey // 90) ELSE 'nowhere' END AS callee FROM part),
+ x AS (SELECT src, callee, id FROM c JOIN t ON fqdn = callee), r AS (SELECT * FROM c ANTI JOIN x USING (src, callee)), y AS (SELECT src, id FROM r JOIN t ON name = callee UNION SELECT src, id FROM r JOIN t ON tail = callee)
+ SELECT DISTINCT CAST(src AS BIGINT) AS src, CAST(id AS BIGINT) AS dst FROM (SELECT src, id FROM x UNION SELECT src, id FROM y) WHERE src <> id""")
 def resolve_two_tier(spark, d):
+    """All parts call: by full name, by the short name, by the tail, or what is nowhere."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    text = lambda c: c.cast("string")
     p = table(spark, d, "part")
-    targets = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("fqdn"), F.col("p_brand").alias("name"), F.col("p_brand").alias("tail"))
-    callee = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.concat(F.lit("Brand#"), (F.col("p_partkey") % 60).cast("string")))
-    return search.resolve_two_tier(p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("src"), callee.alias("callee")), targets)
+    targets = p.select(k.alias("id"), F.col("p_name").alias("fqdn"), F.concat("p_brand", F.lit("-"), size).alias("name"), F.concat(F.lit("t"), text(F.floor(k / 40))).alias("tail"))
+    callee = F.when(k % 4 == 0, F.col("p_name")).when(k % 4 == 1, F.concat(F.lit("Brand#"), text(k % 60), F.lit("-"), size)).when(k % 4 == 2, F.concat(F.lit("t"), text(F.floor(k / 90)))).otherwise("nowhere")
+    return search.resolve_two_tier(p.select(k.alias("src"), callee.alias("callee")), targets)
+
+
+@query(f"""WITH g AS (SELECT DISTINCT src, dst FROM {_GRAPH} WHERE src <> dst), w AS (SELECT p_partkey AS id, least(p_partkey, coalesce((SELECT min(h.dst) FROM g h JOIN g i ON i.src = h.dst AND i.dst = h.src WHERE h.src = p_partkey), p_partkey)) AS scc FROM part)
+ SELECT CAST(a.id AS BIGINT) AS id, string_agg(CAST(b.id AS VARCHAR), ',' ORDER BY b.id) AS peers FROM w a JOIN w b ON a.scc = b.scc AND a.id <> b.id GROUP BY a.id""")
+def scc_peers(spark, d):
+    """Components of this graph's pairs alone (edges both ways), so that the SQL needs no closure."""
+    from tessera.operators import links
+
+    n, e = _graph(spark, d)
+    both = e.join(e.toDF("dst", "src"), ["src", "dst"])
+    out = links.peers(graph.scc(Scratch(spark), n, both))
+    return out.select("id", F.array_join(F.col("peers").cast("array<string>"), ",").alias("peers"))
 
 
 _WORDS = r"[\p{L}\p{N}\p{M}\p{Pc}]+"

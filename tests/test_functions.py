@@ -165,3 +165,18 @@ def test_reduced_summaries(spark):
     for g in ("big", "small", "long"):
         level, items = reduced([t for k, _, t in rows if k == g])
         assert [(x[0], x[2]) for x in sorted(got[g])] == [(level, t) for t in items]
+
+
+def test_fit_and_solver(spark):
+    import numpy as np
+
+    from tessera.operators import reduce as R
+
+    assert np.allclose(R.solve([[0.0, 2.0], [4.0, 1.0]], [2.0, 6.0]), [1.25, 1.0]) and R.solve([[1.0, 1.0], [1.0, 1.0]], [2.0, 2.0])[1] == 0.0
+    x = np.arange(1, 40)
+    y = 3 + 0.5 * x - 0.02 * x**2 + 0.001 * x**3
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double")
+    assert np.allclose(R.poly_fit(df, "x", "y"), [3, 0.5, -0.02, 0.001], atol=1e-3)
+    assert R.poly_fit(df.where("false"), "x", "y") == R.NO_SAMPLES and R.poly_fit(df.where("x = 1"), "x", "y")[1:] == [0.0, 0.0, 0.0]
+    got = df.limit(1).select(R.poly_value([1.0, 2.0], F.lit(-5)).alias("v"), R.poly_value([-9.0], F.lit(2)).alias("w")).first()
+    assert tuple(got) == (3.0, 0.05)
