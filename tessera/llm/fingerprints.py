@@ -41,7 +41,7 @@ def counts(data: bytes) -> np.ndarray:
 def fingerprint(text: str | None) -> str:
     """Hex digest: two digits of length code, then two bits a bucket: above how many quartiles its count is.
 
-    Texts of under three bytes have all codes 0 and differ by a checksum in place of the buckets.
+    Texts of under three bytes have no triplet, so all codes 0, and differ by their length code alone.
     """
     data = (text or "").encode("utf-8", "surrogatepass")
     length = min(255, int(np.log(len(data) + 1) / np.log(LENGTH_STEP)))

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.scratch import Scratch
 
 TOKEN = "[a-z0-9]+"
 #: Host rules, (verdict, rule): fixed values of the contract.
@@ -67,25 +66,30 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page
     often they repeat; rows are joined back by the URL's parts.
     """
     spark = pages.sparkSession
-    scratch = Scratch(spark)
     host, path = parse(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     whole = F.concat("host", "path")
     words = F.array_distinct(F.regexp_extract_all(F.lower(whole), F.lit(TOKEN), F.lit(0)))
     wanted = sorted({t for r in rules for t in r.tokens})
-    urls = rows.select("host", "path").distinct().select("host", "path", whole.alias("whole"), words.alias("words"))
-    seen = urls.select(F.explode(F.array_intersect("words", F.array(*map(F.lit, wanted)).cast("array<string>"))).alias("token"))
+    # URLs without host and path fit no rule; they are many rows of one key, so they stay out of the join.
+    bare = (F.col("host") == "") & (F.col("path") == "")
+    urls = rows.where(~bare).select("host", "path").distinct().select("host", "path", whole.alias("whole"), words.alias("words"))
+    few = len(rules) <= BROADCAST_RULES
+    vocabulary = spark.createDataFrame([(t,) for t in wanted], "token string")
+    seen = urls.select(F.explode("words").alias("token")).join(F.broadcast(vocabulary) if few else vocabulary, "token")
     # One row a token of a rule at most: the rules are a driver-side argument, so is their vocabulary.
     count = {r["token"]: r["n"] for r in seen.groupBy("token").agg(F.count("*").alias("n")).collect()}
     index = rule_index(spark, rules, count)
-    if len(rules) <= BROADCAST_RULES:
+    if few:
         index = F.broadcast(index)
     fetched = urls.select("host", "path", "whole", F.explode(F.concat("words", F.array(F.lit("")))).alias("token")).join(index, "token")
     fits = fetched.where(F.expr("whole rlike regex"))
     best = fits.groupBy("host", "path").agg(F.max(F.struct("host_rule", "size", "text", "rule_verdict")).alias("best"))
-    out = rows.join(best.withColumnsRenamed({"host": "_h", "path": "_p"}), (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
+    out = rows.where(~bare).join(best.withColumnsRenamed({"host": "_h", "path": "_p"}), (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
     rule = F.when(F.col("best.host_rule"), F.col("best.text"))
-    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce("best.rule_verdict", F.lit("allow")).alias("verdict"))
+    out = out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce("best.rule_verdict", F.lit("allow")).alias("verdict"))
+    none = F.lit(None).cast("string").alias("rule")
+    return out.unionByName(rows.where(bare).select("page_id", "host", "path", none, F.lit("allow").alias("verdict")))
 
 
 def rule_index(spark: SparkSession, rules: tuple[Rule, ...], count: dict[str, int]) -> DataFrame:
