@@ -45,7 +45,7 @@ def block_end_lines(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_name", block_ends(body, F.lit(1)).alias("last"))
 
 
-@query("""SELECT file, snippet FROM (SELECT * FROM (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS file, trim(regexp_extract(coalesce(text, ''), 'the (\w+)', 1)) AS snippet FROM documents ORDER BY file LIMIT 15) WHERE snippet <> '' ORDER BY file LIMIT 8)""")
+@query(r"""SELECT file, snippet FROM (SELECT * FROM (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS file, trim(regexp_extract(coalesce(text, ''), 'the (\w+)', 1)) AS snippet FROM documents ORDER BY file LIMIT 15) WHERE snippet <> '' ORDER BY file LIMIT 8)""")
 def first_snippets(spark, sf_dir):
     """Of the first 15 documents by name the first 8 with a match: a top-k report."""
     from tessera.operators.documents import first_snippets as first
