@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import oracles
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -119,3 +121,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"pipeline": pipeline}
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.turn_repair import damage, repair
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return repair(damage(turns), turns)
+
+
+QUERIES |= {"op13_conversation_repair": op13_conversation_repair}
+ORACLE_SQL["op13_conversation_repair"] = oracles.TURN_REPAIR
