@@ -64,3 +64,25 @@ SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
 """
+
+
+RESAMPLING = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS nr, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+goal AS (
+  SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM benchmark),
+found AS (SELECT nr, unnest(words) AS word FROM docs),
+bucket AS (SELECT word, {_crc32("encode(word)")} % 10000 AS bucket FROM (SELECT word FROM found UNION SELECT word FROM goal)),
+s AS (SELECT bucket, count(*) AS s FROM found JOIN bucket USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM goal JOIN bucket USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + CAST(1 AS DOUBLE)) * ((SELECT count(*) FROM found) + CAST(10000 AS DOUBLE)) / ((s + CAST(1 AS DOUBLE)) * ((SELECT count(*) FROM goal) + CAST(10000 AS DOUBLE))))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT nr, CAST(sum(gain) AS BIGINT) AS weight FROM found JOIN bucket USING (word) JOIN gains USING (bucket) GROUP BY nr),
+scored AS (
+  SELECT doc_id, len(words) AS n, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+  FROM docs LEFT JOIN weights USING (nr)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n) AS place, count(*) OVER (PARTITION BY n >= 20) AS eligible FROM scored)
+SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, score, CASE WHEN n >= 20 AND place <= 10 * eligible // 100 THEN place END AS rank FROM ranked
+"""

@@ -132,3 +132,13 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"op13_conversation_repair": op13_conversation_repair}
 ORACLE_SQL["op13_conversation_repair"] = oracles.TURN_REPAIR
+
+
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.importance import resample
+
+    return resample(_docs(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text"))
+
+
+QUERIES |= {"op11_importance_resampling": op11_importance_resampling}
+ORACLE_SQL["op11_importance_resampling"] = oracles.RESAMPLING
