@@ -142,3 +142,18 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"op11_importance_resampling": op11_importance_resampling}
 ORACLE_SQL["op11_importance_resampling"] = oracles.RESAMPLING
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the rows whose vec_id is divisible by 100; there is no SQL, as a recall of 0.9 or more is not all."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm.nearest import search, usable
+    from tessera.plans.scratch import Scratch
+
+    scratch = Scratch(spark)
+    rows = scratch.save(usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "usable")
+    return search(rows.where(F.col("vec_id") % 100 == 0), rows, scratch)
+
+
+QUERIES |= {"op12_nearest_neighbours": op12_nearest_neighbours}
