@@ -75,12 +75,9 @@ def likeliest(x: np.ndarray, table: int, widths: tuple[int, ...], probes: int) -
 
 def widths_for(rows: int, dimension: int) -> tuple[int, ...]:
     """Axes used in each turn, so that cells hold about CELL rows: whole turns, then a narrower one."""
-    full, left, out = 1 << max(1, (dimension - 1).bit_length()), max(2.0, rows / CELL), []
-    while left > 2 * full:
-        out.append(full)
-        left /= 2 * full
-    out.append(max(1, min(full, 1 << int(np.log2(max(1.0, left / 2))))))
-    return tuple(out)
+    full_bits = max(1, (dimension - 1).bit_length()) + 1
+    bits = max(1, int(np.log2(max(2.0, rows / CELL))))
+    return (1 << (full_bits - 1),) * (bits // full_bits) + ((1 << (bits % full_bits - 1),) if bits % full_bits else ())
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
