@@ -1,150 +1,120 @@
-"""Strongly connected components, condensation and longest-path levels as loops over edge tables."""
+"""Strongly connected components, condensation and longest-path levels by elimination of nodes, a share of them each round.
+
+A node with few ways through it is taken out: every edge into it is joined to every edge out of it. What reaches what among the
+other nodes stays the same, and so does the longest path if weights add up. Nodes taken out in one round are no neighbours
+of each other. A chain, a ladder or a tree loses a share of its nodes each round, whatever its depth, so rounds grow with
+the logarithm of the nodes, not with the layers. Later the rounds are gone back: a node's component or level
+follows from its neighbours at the time it went. All steps are joins and groupings of edge tables, which shrink as rounds go.
+"""
 
 from __future__ import annotations
 
 from itertools import count
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.scratch import Scratch
 
-#: A graph of up to so many edges (some 100 MB) is one task's work; a larger one is worked on in rounds over tables.
-SMALL = 2_000_000
-
-
-def components_and_levels(nodes: list, edges: list[tuple]) -> list[tuple]:
-    """(id, scc, level) of a graph in memory: Tarjan's algorithm with an explicit stack. A component is done after all that
-    it reaches, so its level, one above the highest of these, is known at once."""
-    out_of: dict = {n: [] for n in nodes}
-    for a, b in edges:
-        out_of[a].append(b)
-    index, low, comp, level, members, stack = {}, {}, {}, {}, {}, []
-    for root in nodes:
-        if root in index:
-            continue
-        index[root] = low[root] = len(index)
-        stack.append(root)
-        work = [(root, iter(out_of[root]))]
-        while work:
-            node, rest = work[-1]
-            for other in rest:
-                if other not in index:
-                    index[other] = low[other] = len(index)
-                    stack.append(other)
-                    work.append((other, iter(out_of[other])))
-                    break
-                if other not in comp:
-                    low[node] = min(low[node], index[other])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                if low[node] == index[node]:
-                    group = []
-                    while not group or group[-1] != node:
-                        group.append(stack.pop())
-                    name = min(group)
-                    comp.update(dict.fromkeys(group, name))
-                    members[name] = group
-                    level[name] = max((level[comp[o]] + 1 for n in group for o in out_of[n] if comp[o] != name), default=0)
-    return [(n, comp[n], level[comp[n]]) for n in nodes]
-
-
-def _in_one_task(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, scc, level) by one task, which gets all nodes and edges."""
-    kind = nodes.schema["id"].dataType.simpleString()
-    none = F.lit(None).cast(kind)
-    rows = nodes.select("id", none.alias("src"), none.alias("dst")).unionByName(edges.select(none.alias("id"), "src", "dst"))
-
-    def run(batches):
-        all_nodes, all_edges, types = [], [], None
-        for batch in batches:
-            types = batch.schema.field(0).type
-            ids, a, b = (batch.column(i).to_pylist() for i in range(3))
-            all_nodes += [i for i in ids if i is not None]
-            all_edges += [(x, y) for x, y in zip(a, b, strict=True) if x is not None]
-        if types is not None:
-            found = components_and_levels(sorted(all_nodes), sorted(all_edges))
-            for i in range(0, len(found), 50_000):
-                part = found[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in part], types), pa.array([x[1] for x in part], types), pa.array([x[2] for x in part], pa.int64())], names=["id", "scc", "level"]
-                )
-
-    return rows.repartition(1).mapInArrow(run, f"id {kind}, scc {kind}, level long")
-
-
-def _clean(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """Distinct nodes, distinct edges between them without loops, and whether they are small."""
+#: A node goes if the edges through it are at most so many times its edges: tables grow little, and no hub is multiplied out.
+FILL = 2
+#: Below this share of nodes a round, components are looked for by colours.
+FEW = 0.05
+
+
+def _clean(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct nodes, and distinct edges between them without loops."""
     live = scratch.save(nodes.select("id").where("id IS NOT NULL").distinct(), "nodes")
-    e = scratch.save(_within(edges.where("src <> dst").select("src", "dst").distinct(), live), "edges")
-    return live, e, live.count() + e.count() <= SMALL
+    inside = edges.where("src <> dst").select("src", "dst").distinct()
+    return live, scratch.save(inside.join(live.toDF("src"), "src", "left_semi").join(live.toDF("dst"), "dst", "left_semi"), "edges")
 
 
-def scc(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, scc): the smallest id of each node's strongly connected component; edges to what is no node are left out."""
-    live, e, small = _clean(scratch, nodes, edges)
-    return _in_one_task(live, e).select("id", "scc") if small else _scc_in_rounds(scratch, live, e)
+def _nodes(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
 
 
-def _scc_in_rounds(scratch: Scratch, live: DataFrame, e: DataFrame) -> DataFrame:
-    """Rounds of: trim nodes without an open in- or out-edge (a component each), then colour every node with the smallest
-    id that reaches it and, within a colour, walk back from that id; what it reaches is its component. As many rounds as
-    it takes: a chain is trimmed from both ends.
-    """
-    nodes = live
-    done: list[DataFrame] = []
-    while True:
-        inner = e.select(F.col("src").alias("id")).intersect(e.select(F.col("dst").alias("id")))
-        loose = scratch.save(live.join(inner, "id", "left_anti"), "trim")
-        if not loose.isEmpty():
-            done.append(loose.select("id", F.col("id").alias("scc")))
-            live = scratch.save(live.join(inner, "id", "left_semi"), "scc-nodes")
-            e = scratch.save(_within(e, live), "scc-edges")
-            continue
-        if live.isEmpty():
-            break
-        colour = _spread(scratch, live.select("id", F.col("id").alias("c")), e)
-        roots = colour.where("id = c").select("id", "c")
-        same = e.join(colour.toDF("src", "cs"), "src").join(colour.toDF("dst", "cd"), "dst").where("cs = cd")
-        back = scratch.save(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "back")
-        found = _reach(scratch, roots, back)
-        done.append(found.select("id", F.col("c").alias("scc")))
-        live = scratch.save(live.join(found, "id", "left_anti"), "scc-nodes")
-        e = scratch.save(_within(e, live), "scc-edges")
-    out = done[0] if done else nodes.select("id", F.col("id").alias("scc")).limit(0)
-    for d in done[1:]:
-        out = out.union(d)
-    return out
-
-
-def _within(e: DataFrame, live: DataFrame) -> DataFrame:
-    return e.join(live.toDF("src"), "src", "left_semi").join(live.toDF("dst"), "dst", "left_semi")
-
-
-def _spread(scratch: Scratch, label: DataFrame, e: DataFrame) -> DataFrame:
-    """The smallest label that reaches each node."""
-    label = scratch.save(label, "label")
-    while True:
-        come = e.join(label.toDF("src", "c2"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c2").alias("c2"))
-        new = label.join(come, "id", "left").select("id", F.least("c", "c2").alias("c"), (F.col("c2") < F.col("c")).alias("moved"))
-        new = scratch.save(new, "label")
-        moved = new.where("moved").isEmpty()
-        label = new.select("id", "c")
-        if moved:
-            return label
+def _picked(edges: DataFrame, turn: int) -> DataFrame:
+    """Nodes (id) that can go together: cheap ones, of which no two are neighbours. Leaves come first, then roots, then by hash."""
+    ends = edges.select(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(edges.select("dst", F.lit(1), F.lit(0)))
+    sums = ends.groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    first = F.when(F.col("o") == 0, 2).when(F.col("i") == 0, 1).otherwise(0).cast("long")
+    rank = F.shiftleft(first, 61).bitwiseOR(F.shiftrightunsigned(F.xxhash64("id", F.lit(turn)), 3))
+    may = sums.where(F.col("i") * F.col("o") <= FILL * (F.col("i") + F.col("o"))).select("id", rank.alias("rank"))
+    met = edges.join(may.toDF("src", "a"), "src").join(may.toDF("dst", "b"), "dst")
+    return may.select("id").join(met.select(F.when(F.col("a") <= F.col("b"), F.col("src")).otherwise(F.col("dst")).alias("id")), "id", "left_anti")
+
 
+def _take_out(scratch: Scratch, edges: DataFrame, picked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges(src, dst, w) with ``_s`` and ``_d``, whether an end goes; and the edges that are left, of parallel ones the heaviest."""
+    s, d = (picked.select(F.col("id").alias(c), F.lit(True).alias(f"_{c[0]}")) for c in ("src", "dst"))
+    marked = edges.join(s, "src", "left").join(d, "dst", "left").select("src", "dst", "w", F.col("_s").isNotNull().alias("_s"), F.col("_d").isNotNull().alias("_d"))
+    marked = scratch.save(marked, "marked")
+    into = marked.where("_d").select("src", F.col("dst").alias("id"), F.col("w").alias("before"))
+    out = marked.where("_s").select(F.col("src").alias("id"), "dst", "w")
+    through = into.join(out, "id").where("dst IS NULL OR src <> dst").select("src", "dst", (F.col("before") + F.col("w")).alias("w"))
+    rest = marked.where("NOT _s AND NOT _d").select("src", "dst", "w").union(through)
+    return marked, scratch.save(rest.groupBy("src", "dst").agg(F.max("w").alias("w")), "left")
 
-def _reach(scratch: Scratch, roots: DataFrame, e: DataFrame) -> DataFrame:
-    seen = front = scratch.save(roots, "reach")
+
+def scc(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, scc): the smallest id of each node's strongly connected component; edges to what is no node are left out.
+
+    A node that went is in a component with others just if one component has both an edge into it and one out of it. What
+    has no cheap nodes left is dense, hence of small depth, and is coloured: as many steps as its paths are long.
+    """
+    live, first = _clean(scratch, nodes, edges)
+    e, gone, found = first.withColumn("w", F.lit(0)), [], []
+    for turn in count():
+        here = _nodes(e).count()
+        if not here:
+            break
+        picked = scratch.save(_picked(e, turn), "picked")
+        if picked.count() >= FEW * here:
+            marked, e = _take_out(scratch, e, picked)
+            gone.append((picked, marked))
+        else:
+            found.append(_coloured(scratch, e, turn))
+            open_ = found[-1].select("id")
+            e = scratch.save(e.join(open_.toDF("src"), "src", "left_anti").join(open_.toDF("dst"), "dst", "left_anti"), "open")
+    known = live.select("id", F.col("id").alias("name")).limit(0)
+    for f in found:
+        known = known.union(f)
+    known = scratch.save(known, "known")
+    for picked, marked in reversed(gone):
+        # A neighbour without a name has lost all its edges: it is a component of its own.
+        name = lambda end, own: marked.where(f"_{own[0]}").join(known.toDF(end, "name"), end, "left").select(F.col(own).alias("id"), F.coalesce("name", end).alias("name"))  # noqa: E731, B023
+        both = name("src", "dst").join(name("dst", "src"), ["id", "name"]).groupBy("id").agg(F.min("name").alias("in"))
+        new = picked.join(both, "id", "left").select("id", F.coalesce("in", "id").alias("name"))
+        before, known = known, scratch.save(known.union(new), "known")
+        scratch.drop(before, picked, marked)
+    # Names are some member's id; the neighbours that were never named are their own.
+    every = live.join(known, "id", "left").select("id", F.coalesce("name", "id").alias("name"))
+    least = every.groupBy("name").agg(F.min("id").alias("scc"))
+    return scratch.save(every.join(least, "name").select("id", "scc"), "scc")
+
+
+def _coloured(scratch: Scratch, e: DataFrame, turn: int) -> DataFrame:
+    """(id, name) of some components of a graph that is all edges: every node takes the least label that reaches it, and what
+    reaches a label's own node within its colour is that node's component. Labels are hashes, so a large one is met soon."""
+    own = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("id"))
+    last = scratch.save(_nodes(e).select("id", own.alias("c")), "colour")
     while True:
-        step = e.join(front.toDF("src", "c"), "src").select(F.col("dst").alias("id"), "c").distinct()
+        colour = last.select("id", "c")
+        come = e.join(colour.toDF("src", "c2"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c2").alias("c2"))
+        new = colour.join(come, "id", "left").select("id", F.least("c", "c2").alias("c"), (F.col("c2") < F.col("c")).alias("moved"))
+        before, last = last, scratch.save(new, "colour")
+        scratch.drop(before)
+        if last.where("moved").isEmpty():
+            break
+    colour = last.select("id", "c")
+    back = e.join(colour.toDF("src", "a"), "src").join(colour.toDF("dst", "b"), "dst").where("a = b").select(F.col("dst").alias("id"), F.col("src").alias("to"))
+    back = scratch.save(back, "back")
+    seen = front = scratch.save(colour.where("id = c.id").select("id", F.col("id").alias("name")), "reach")
+    while not front.isEmpty():
+        step = back.join(front, "id").select(F.col("to").alias("id"), "name").distinct()
         front = scratch.save(step.join(seen.select("id"), "id", "left_anti"), "front")
-        if front.isEmpty():
-            return seen
         seen = scratch.save(seen.union(front), "reach")
+    return seen
 
 
 def condensation(edges: DataFrame, comp: DataFrame) -> DataFrame:
@@ -155,24 +125,37 @@ def condensation(edges: DataFrame, comp: DataFrame) -> DataFrame:
 
 def levels(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, scc, level): longest path to a leaf over the condensation; 0 at leaves."""
-    live, e, small = _clean(scratch, nodes, edges)
-    return _in_one_task(live, e) if small else _levels_in_rounds(scratch, live, e)
+    live, e = _clean(scratch, nodes, edges)
+    comp = scc(scratch, live, e)
+    rank = longest_paths(scratch, comp.select(F.col("scc").alias("id")).distinct(), condensation(e, comp))
+    return comp.join(rank.toDF("scc", "level"), "scc").select("id", "scc", "level")
 
 
-def _levels_in_rounds(scratch: Scratch, live: DataFrame, e: DataFrame) -> DataFrame:
-    """One round a level: the components all of whose callees have one get theirs. One table a round holds all levels so far."""
-    comp = scratch.save(_scc_in_rounds(scratch, live, e), "scc")
-    dag = scratch.save(condensation(e, comp), "dag")
-    rank = scratch.save(comp.select("scc", F.lit(None).cast("long").alias("level")).distinct(), "rank")
-    level = 0
-    while True:
-        waiting = dag.join(rank.where("level IS NULL").select(F.col("scc").alias("dst")), "dst", "left_semi").select(F.col("src").alias("scc")).distinct()
-        ready = rank.where("level IS NULL").join(waiting, "scc", "left_anti").select("scc", F.lit(level).cast("long").alias("now"))
-        new = scratch.save(rank.join(ready, "scc", "left").select("scc", F.coalesce("level", "now").alias("level")), "rank")
-        scratch.drop(rank)
-        rank, level = new, level + 1
-        if rank.where("level IS NULL").isEmpty():
-            return comp.join(rank, "scc").select("id", "scc", "level")
+def longest_paths(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, level): edges of the longest path from each node of an acyclic graph(src, dst).
+
+    Elimination in max-plus algebra: weights through a node add up, of parallel edges the heaviest stays. An edge to null of weight
+    0 is a path that ends here. In a graph without cycles there are leaves to take out in every round; more
+    rounds than the logarithm are needed only where all nodes are dense over many layers.
+    """
+    kind = edges.schema["dst"].dataType
+    ends = nodes.select(F.col("id").alias("src"), F.lit(None).cast(kind).alias("dst"), F.lit(0).cast("long").alias("w"))
+    e = scratch.save(edges.select("src", "dst", F.lit(1).cast("long").alias("w")).union(ends), "weighted")
+    gone = []
+    for turn in count():
+        inner = e.where("dst IS NOT NULL")
+        if inner.isEmpty():
+            break
+        picked = scratch.save(_picked(inner, turn), "picked")
+        marked, e = _take_out(scratch, e, picked)
+        gone.append(marked)
+    known = scratch.save(e.select(F.col("src").alias("id"), F.col("w").alias("level")), "levels")
+    for marked in reversed(gone):
+        way = marked.where("_s").join(known.toDF("dst", "level"), "dst", "left")
+        new = way.groupBy(F.col("src").alias("id")).agg(F.max(F.col("w") + F.coalesce("level", F.lit(0))).alias("level"))
+        before, known = known, scratch.save(known.union(new), "levels")
+        scratch.drop(before, marked)
+    return known
 
 
 def propagate(scratch: Scratch, seeds: DataFrame, edges: DataFrame, stop: DataFrame | None = None) -> DataFrame:

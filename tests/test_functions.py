@@ -112,34 +112,6 @@ def test_whitespace_loop():
     assert whitespace_loop(["a", " " * 49, "b", " " * 49]) is None and whitespace_loop([]) is None
 
 
-def test_small_graphs_equal_rounds(spark):
-    import random
-
-    from tessera.operators import graph
-    from tessera.plans.scratch import Scratch
-
-    r = random.Random(4)
-    n = spark.createDataFrame([(i,) for i in range(14)], "id long")
-    pairs = [(r.randrange(14), r.randrange(14)) for _ in range(18)] + [(3, 99)]
-    e = spark.createDataFrame(pairs, "src long, dst long")
-    got = sorted(map(tuple, graph.levels(Scratch(spark), n, e).collect()))
-    reach = {(a, b) for a, b in pairs if a != b and b < 14}
-    for _ in range(14):
-        reach |= {(a, d) for a, b in reach for c, d in reach if b == c}
-    comp = {i: min([i] + [j for j in range(14) if (i, j) in reach and (j, i) in reach]) for i in range(14)}
-    dag = {(comp[a], comp[b]) for a, b in pairs if b < 14 and comp[a] != comp[b]}
-    level = dict.fromkeys(comp.values(), 0)
-    for _ in range(14):
-        for a, b in dag:
-            level[a] = max(level[a], level[b] + 1)
-    assert got == [(i, comp[i], level[comp[i]]) for i in range(14)]
-    live, edges, small = graph._clean(Scratch(spark), n, e)
-    assert small and sorted(map(tuple, graph._levels_in_rounds(Scratch(spark), live, edges).collect())) == got
-    chain = spark.range(3000)
-    deep = graph.levels(Scratch(spark), chain, chain.where("id > 0").select(F.col("id").alias("src"), (F.col("id") - 1).alias("dst")))
-    assert deep.agg(F.max("level")).first()[0] == 2999
-
-
 def test_reduced_summaries(spark):
     from tessera.operators.documents import reduce_summaries
     from tessera.plans.scratch import Scratch
