@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.incremental import group_key
-from tessera.operators.reduce import capped_chunks
+from tessera.operators.chunks import capped_chunks
 from tessera.plans.scratch import Scratch
 
 #: Files that do not name a module, folders that do not, and files of the main module.
@@ -91,7 +91,7 @@ def reduce_summaries(
         if stable:
             rest = rest.withColumn("order", F.row_number().over(Window.partitionBy(group).orderBy("text", "order")).cast("long"))
         rest = scratch.save(rest, f"rest-{level}")
-        chunks = capped_chunks(rest, group, "order", "text", max_items, max_chars, stable).withColumnsRenamed({group: "_g", "order": "_o"})
+        chunks = capped_chunks(scratch, rest, group, "order", "text", max_items, max_chars, stable).withColumnsRenamed({group: "_g", "order": "_o"})
         placed = rest.join(chunks, (F.col(group) == F.col("_g")) & (F.col("order") == F.col("_o")))
         first = Window.partitionBy(group, "chunk").orderBy("order")
         shown = placed.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= SHOWN_ITEMS)

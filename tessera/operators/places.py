@@ -13,8 +13,9 @@ from tessera.plans.scratch import Scratch
 _PART = 33
 
 
-def numbered(scratch: Scratch, rows: DataFrame, order: Sequence[Column | str], by: Sequence[str] = (), name: str = "place") -> DataFrame:
-    """rows plus ``name``: the place (from 0) of each row of its group ``by`` in the given order, ties in the order read.
+def numbered(scratch: Scratch, rows: DataFrame, order: Sequence[Column | str], by: Sequence[str] = (), name: str = "place", each: str | None = None) -> DataFrame:
+    """rows plus ``name``: the place (from 0) of each row of its group ``by`` in the given order, ties in the order read; with
+    ``each`` the sum of that whole number over the rows before it.
 
     Rows are sorted into ranges of (by, order), so that one group, or one value, may fill many tasks. A range adds the rows that
     its first group has in earlier ranges: at most one group goes on in a range, so at most a row a range is broadcast.
@@ -24,11 +25,14 @@ def numbered(scratch: Scratch, rows: DataFrame, order: Sequence[Column | str], b
     laid = rows.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__tie")
     laid = scratch.save(laid.withColumn("__at", F.monotonically_increasing_id()), "laid")
     placed = laid.withColumn("__range", F.shiftright("__at", _PART))
-    if by:
+    if each:
+        before_it = Window.partitionBy(*by, "__range").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+        local = F.coalesce(F.sum(each).over(before_it), F.lit(0))
+    elif by:
         local = F.row_number().over(Window.partitionBy(*by, "__range").orderBy("__at")) - 1
     else:
         local = F.col("__at").bitwiseAND(F.lit((1 << _PART) - 1))
-    sizes = placed.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
+    sizes = placed.groupBy(*by, "__range").agg((F.sum(each) if each else F.count("*")).alias("__n"))
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     carried = sizes.withColumn("__before", F.sum("__n").over(before)).where("__before > 0")
     carried = carried.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__range").alias("__from"), "__before")

@@ -1,9 +1,8 @@
-"""Content-defined chunks, module groups, weighted pattern scores, cost fits and timing windows."""
+"""Cost fits and timing windows."""
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,77 +10,6 @@ from pyspark.sql import functions as F
 NO_SAMPLES, NO_DATA, RIDGE, PIVOT, FLOOR = [0.8, 0.02, 0.0, 0.0], [0.8, 0.03, 0.0, 0.0], 1e-5, 1e-12, 0.05
 
 
-def boundary(text: Column, max_items: int) -> Column:
-    """Whether a stable chunk ends after this item: its SHA-1's first 32 bits divide by max(2, max_items // 2)."""
-    return F.conv(F.substring(F.sha1(text), 1, 8), 16, 10).cast("long") % max(2, max_items // 2) == 0
-
-
-def hash_chunks(items: DataFrame, group: str, order: str, text: str, max_items: int = 15) -> DataFrame:
-    """items plus ``chunk``: the number of boundaries before each item of its group."""
-    return boundaries_before(items.withColumn("_cut", boundary(F.col(text), max_items)), group, order).drop("_cut")
-
-
-#: Ranges of the order column into which groups are cut, so that a large group is not one task.
-RANGES = 32
-
-
-def boundaries_before(items: DataFrame, group: str, order: str) -> DataFrame:
-    """items(group, order number, _cut) plus ``chunk``, the cuts before each item of its group.
-
-    A running sum in two steps: per group and range of the order column, then on top the sums of the group's earlier
-    ranges, at most RANGES rows a group. Only the range borders, at most RANGES numbers, reach the driver.
-    """
-    borders = sorted(set(items.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.01)))
-    at = sum((F.when(F.col(order) > b, 1).otherwise(0) for b in borders), F.lit(0))
-    rows = items.withColumn("_range", at)
-    totals = rows.groupBy(group, "_range").agg(F.sum(F.col("_cut").cast("long")).alias("_n"))
-    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    local = Window.partitionBy(group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_local", F.coalesce(F.sum(F.col("_cut").cast("long")).over(local), F.lit(0)))
-    out = rows.join(totals, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
-    return out.withColumn("chunk", (F.col("_local") + F.col("_before")).cast("long")).drop("_range", "_g", "_r", "_local", "_before")
-
-
-def capped_chunks(items: DataFrame, group: str, order: str, text: str, max_items: int = 15, max_chars: int = 3500, stable: bool = False) -> DataFrame:
-    """(group, order, chunk) of an ordered fold: a chunk closes before an item that would pass a cap, and, if stable,
-    after an item with a boundary hash. An item above max_chars stands alone.
-
-    The fold depends on all items before, so a group is one task, which sees sizes alone, in order, and holds one chunk's
-    counters. Between two boundary hashes a run stands for itself; with ``stable`` runs, not groups, are dealt out.
-    """
-    size = F.length(F.coalesce(F.col(text), F.lit(""))).cast("long")
-    cols = [F.col(group), F.col(order).cast("long").alias("_o"), size.alias("_n")]
-    if stable:
-        cut = items.withColumn("_cut", boundary(F.col(text), max_items))
-        rows = boundaries_before(cut, group, order).select(*cols, F.col("chunk").alias("_run"))
-    else:
-        rows = items.select(*cols, F.lit(0).cast("long").alias("_run"))
-    kind = items.schema[group].dataType.simpleString()
-
-    def fold(batches):
-        last, k, n, chars = None, 0, 0, 0
-        for batch in batches:
-            groups, runs, sizes, out = batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(2).to_pylist(), []
-            for g, r, c in zip(groups, runs, sizes, strict=True):
-                if (g, r) != last:
-                    last, k, n, chars = (g, r), 0, 0, 0
-                elif n >= max_items or chars + c > max_chars:
-                    k, n, chars = k + 1, 0, 0
-                n, chars = n + 1, chars + c
-                out.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out, pa.int64())], names=["g", "o", "run", "k"])
-
-    rows = rows.repartition(group, "_run").sortWithinPartitions(group, "_run", "_o")
-    folded = rows.mapInArrow(fold, f"g {kind}, o long, run long, k long")
-    if stable:
-        ends = folded.groupBy("g", "run").agg((F.max("k") + 1).alias("n"))
-        before = Window.partitionBy("g").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-        ends = ends.select(F.col("g").alias("_g"), F.col("run").alias("_run"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-        folded = folded.join(ends, F.col("g").eqNullSafe(F.col("_g")) & (F.col("run") == F.col("_run"))).withColumn("k", F.col("k") + F.col("first"))
-    return folded.select(F.col("g").alias(group), F.col("o").alias(order), F.col("k").alias("chunk"))
-
-
 def power_sums(x: Column, y: Column) -> list[Column]:
     """Sums of x^p (p to 6) and y x^p (p to 3), x at least 1 and y at least 0.01: one aggregation, partial first."""
     x, y = F.greatest(x.cast("double"), F.lit(1.0)), F.greatest(y.cast("double"), F.lit(0.01))

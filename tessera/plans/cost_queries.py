@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import chunks as C
 from tessera.operators import reduce as R
 from tessera.plans.catalog import query
+from tessera.plans.scratch import Scratch
 from tessera.session import table
 
 
 @query("""WITH b AS (SELECT doc_id, source, CAST(CAST('0x' || substring(sha1(text), 1, 8) AS BIGINT) % 7 = 0 AS BIGINT) AS cut FROM documents)
  SELECT CAST(doc_id AS BIGINT) AS doc_id, source, CAST(coalesce(sum(cut) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chunk FROM b""")
 def hash_boundaries(spark, d):
-    return R.hash_chunks(table(spark, d, "documents"), "source", "doc_id", "text").select("doc_id", "source", "chunk")
+    return C.hash_chunks(Scratch(spark), table(spark, d, "documents"), "source", "doc_id", "text").select("doc_id", "source", "chunk")
 
 
 _FOLD = """WITH RECURSIVE x AS (SELECT source, doc_id, length(text) AS n, {cut} AS cut, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
@@ -24,12 +26,12 @@ _FOLD = """WITH RECURSIVE x AS (SELECT source, doc_id, length(text) AS n, {cut}
 
 @query(_FOLD.format(cut="false"))
 def chunks_by_size(spark, d):
-    return R.capped_chunks(table(spark, d, "documents"), "source", "doc_id", "text")
+    return C.capped_chunks(Scratch(spark), table(spark, d, "documents"), "source", "doc_id", "text")
 
 
 @query(_FOLD.format(cut="CAST('0x' || substring(sha1(text), 1, 8) AS BIGINT) % 7 = 0"))
 def chunks_stable(spark, d):
-    return R.capped_chunks(table(spark, d, "documents"), "source", "doc_id", "text", stable=True)
+    return C.capped_chunks(Scratch(spark), table(spark, d, "documents"), "source", "doc_id", "text", stable=True)
 
 
 @query("SELECT " + ", ".join([f"round(sum(pow(x, {p})) / 1e6, 3) AS sx{p}" for p in range(5)] + [f"round(sum(y * pow(x, {p})) / 1e9, 3) AS sy{p}" for p in range(4)])
