@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import SAME, SAME_CONTRACT, alike, normal_spec, says_the_same
 from tessera.operators.graph import propagate
+from tessera.operators.substrings import contained
 from tessera.plans.scratch import Scratch
 
 
@@ -117,10 +118,11 @@ def is_downstream(variables: DataFrame, changed: DataFrame, interface: DataFrame
     own = variables.select("id").join(changed.select("id"), "id", "left_semi")
     by_type = containers.join(interface.select(F.col("id").alias("type_id")), "type_id", "left_semi").select("id")
     by_caller = callers.join(interface.select(F.col("id").alias("caller")), "caller", "left_semi").select("id")
-    f = functions.join(interface.select("id"), "id", "left_semi").select(F.col("rel_path").alias("_path"), "callees", "signature")
-    v = variables.select("id", "rel_path", "name")
-    mentions = F.array_contains("callees", F.col("name")) | F.contains(F.coalesce("signature", F.lit("")), F.col("name"))
-    by_mention = v.join(f, (F.col("rel_path") == F.col("_path")) & mentions).select("id")
+    f = functions.join(interface.select("id"), "id", "left_semi").select(F.col("id").alias("fn"), "rel_path", "callees", "signature")
+    called = f.select("rel_path", F.explode("callees").alias("name"))
+    signed = contained(Scratch(functions.sparkSession), f.select(F.col("fn").alias("id"), F.col("signature").alias("text")), variables.select("name"))
+    shown = signed.join(f.select(F.col("fn").alias("id"), "rel_path"), "id").select("rel_path", "name")
+    by_mention = variables.select("id", "rel_path", "name").join(called.union(shown).distinct(), ["rel_path", "name"], "left_semi").select("id")
     every = own.union(by_type).union(by_caller).union(by_mention).distinct().withColumn("_hit", F.lit(True))
     plain = ~F.col("doc_there") | (F.coalesce("context", F.lit("")) == "")
     return variables.join(every, "id", "left").select("id", (F.coalesce("_hit", F.lit(False)) | plain).alias("downstream"))
