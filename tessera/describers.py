@@ -15,14 +15,15 @@ FIELDS = ("purpose", "inputs", "outputs", "overview")
 
 
 class Describer(Protocol):
-    """Texts of symbols(unique_id, name, kind, fqdn, signature, code, callees); made once a worker by a factory."""
+    """Texts of symbols(unique_id, name, kind, fqdn, signature, code, callees, callee_context); made once a task by a factory."""
 
     def describe(self, symbols: pd.DataFrame) -> pd.DataFrame:
         """unique_id and FIELDS, a row a symbol."""
         ...
 
     def refine(self, symbols: pd.DataFrame) -> pd.DataFrame:
-        """unique_id and ``context`` of variables, from their containers and callers."""
+        """unique_id and ``context`` of variables(unique_id, name, kind, signature, code, parent, holder_kind, holder_purpose,
+        functions); may be missing, then variables have no context."""
         ...
 
 
@@ -47,6 +48,18 @@ def by_plugin(symbols: DataFrame, make: Callable[[], Describer], on_chunk: Calla
     return symbols.mapInPandas(run, "unique_id string, " + ", ".join(f"{f} string" for f in FIELDS))
 
 
+def refine(variables: DataFrame, make: Callable[[], Describer]) -> DataFrame:
+    """(unique_id, context) of the variables that the describer has a context for."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        describer = make()
+        for batch in batches:
+            if hasattr(describer, "refine"):
+                yield describer.refine(batch)[["unique_id", "context"]]
+
+    return variables.mapInPandas(run, "unique_id string, context string")
+
+
 def describe(symbols: DataFrame, static, make: Callable[[], Describer] | None = None) -> DataFrame:
     """Symbols for which the column ``static`` holds, or all without a describer, from names; the others by the describer."""
     if make is None:

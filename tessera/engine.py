@@ -12,7 +12,7 @@ from tessera import describers
 from tessera.config import Options
 from tessera.functions import interfaces, markdown
 from tessera.functions import text as T
-from tessera.operators import documents, incremental, links, listing, search
+from tessera.operators import documents, graph, incremental, links, listing, search
 from tessera.plans.scratch import Scratch
 from tessera.sinks import Warehouse
 from tessera.sources.adapters import Registry, default_registry
@@ -40,11 +40,12 @@ class Engine:
         old = self.store.read("symbols") if self.store.exists("symbols") else None
         dirty = scratch.save(self._dirty(found, old, options.force), "dirty")
         made = scratch.save(self._described(found, dirty, edges, old, scratch), "described")
+        made = scratch.save(self._refined(made, dirty, edges, old, options.force), "refined")
         counts = {"files": files.count(), "symbols": made.count(), "made": made.where("made").count()}
         steps = options.steps()
         if 1 in steps:
             self.store.write_if_different("files", files.select("rel_path", "file_hash"), "rel_path")
-            self.store.write_if_different("symbols", made.drop("made"), "unique_id")
+            self.store.write_if_different("symbols", made.drop("made", "promises"), "unique_id")
             self.store.write_if_different("edges", edges.select(F.concat_ws(" ", "src", "dst").alias("edge"), "src", "dst"), "edge")
             self.store.write_if_different("documents", self._documents(files, made, edges), "file")
         if 3 in steps:
@@ -56,7 +57,8 @@ class Engine:
 
         rows = found.join(files.select("rel_path", "language", "content"), "rel_path")
         rows = rows.withColumn("code", snippet(F.col("content"), F.col("line_start"), F.col("line_end"))).drop("content")
-        bare = F.when(F.col("language").isin("python", "shell"), T.strip_hash_comments(F.col("code"))).otherwise(T.strip_c_comments(F.col("code")))
+        bare = F.when(F.col("language") == "shell", T.strip_hash_comments(F.col("code"))).otherwise(T.strip_c_comments(F.col("code")))
+        bare = F.when(F.col("language") == "python", T.strip_python_comments(T.dedent(F.col("code")))).otherwise(bare)
         return rows.withColumns({
             "full_hash": T.symbol_hash(F.col("signature"), F.col("doc"), F.col("code")),
             "logic_hash": T.logic_hash(F.col("signature"), bare),
@@ -83,22 +85,84 @@ class Engine:
         return both.where(flags["dirty"]).select(F.col("unique_id").alias("id"))
 
     def _described(self, found: DataFrame, dirty: DataFrame, edges: DataFrame, old: DataFrame | None, scratch: Scratch) -> DataFrame:
-        """found with texts and ``made``: new ones for the dirty and, with a describer, for what calls them as far as
-        contracts change; the others keep theirs."""
+        """found with texts, ``made`` and ``promises`` (the contract is another one): new texts for the dirty and, with a describer,
+        for the callers of whatever changed its contract, callees first; the others keep theirs.
+
+        Texts from names depend on nothing else, so without a describer one round makes all.
+        """
         static = listing.needs_no_describer(F.col("kind"))
-        ids = dirty
-        if self.make is not None and old is not None:
-            ids = incremental.propagate_contracts(scratch, dirty, edges).select("id")
-        wanted = found.join(ids.select(F.col("id").alias("unique_id")), "unique_id", "left_semi")
-        new = describers.describe(wanted, static, self.make).withColumn("made", F.lit(True))
-        if old is not None:
-            kept = old.select("unique_id", *describers.FIELDS).join(ids.select(F.col("id").alias("unique_id")), "unique_id", "left_anti")
-            new = new.unionByName(kept.withColumn("made", F.lit(False)))
-        return found.join(new, "unique_id", "left").withColumn("made", F.coalesce("made", F.lit(False)))
+        parts = ("kind", "signature", "callees", *describers.FIELDS)
+        nodes = found.select("unique_id", F.col("unique_id").alias("id"), "name", "fqdn", "rel_path")
+        before = found.limit(0).select("unique_id", *parts[:3], *[F.lit("").alias(f) for f in describers.FIELDS]) if old is None else old.select("unique_id", *parts)
+        before = before.toDF("_id", *[f"old_{c}" for c in parts])
+
+        def make(now: DataFrame, made: DataFrame | None) -> DataFrame:
+            wanted = found.join(now.select(F.col("id").alias("unique_id")), "unique_id", "left_semi")
+            if self.make is not None:
+                own = edges.join(now.select(F.col("id").alias("src")), "src", "left_semi")
+                context = links.callee_summaries(own, self._with_texts(nodes, before, made)).select(F.col("id").alias("unique_id"), F.col("summary").alias("callee_context"))
+                wanted = wanted.join(context, "unique_id", "left")
+            new = describers.describe(wanted, static, self.make).join(found.select("unique_id", *parts[:3]), "unique_id")
+            new = new.join(before, F.col("unique_id") == F.col("_id"), "left")
+            pair = lambda c: (F.col(f"old_{c}"), F.col(c))
+            has, cached = F.col("_id").isNotNull(), F.coalesce("old_purpose", F.lit("")) != ""
+            promises = incremental.contract_changed(has & cached, has, *[pair(c) for c in ("kind", "signature", "callees", "inputs", "outputs", "purpose")])
+            return new.select(F.col("unique_id").alias("id"), promises.alias("changed"), *describers.FIELDS)
+
+        if self.make is None:
+            made = make(dirty, None)
+        else:
+            above = graph.propagate(scratch, dirty, edges).select("id")  # nothing else can be made anew
+            inside = edges.join(above.toDF("src"), "src", "left_semi").join(above.toDF("dst"), "dst", "left_semi")
+            made = incremental.make_anew(scratch, dirty, graph.levels(scratch, above, inside), edges, make)
+        new = made.select(F.col("id").alias("unique_id"), *describers.FIELDS, F.lit(True).alias("made"), F.col("changed").alias("promises"))
+        kept = before.select(F.col("_id").alias("unique_id"), *[F.col(f"old_{f}").alias(f) for f in describers.FIELDS]).join(new.select("unique_id"), "unique_id", "left_anti")
+        new = new.unionByName(kept.withColumns({"made": F.lit(False), "promises": F.lit(False)}))
+        return found.join(new, "unique_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("made", "promises")})
+
+    def _with_texts(self, nodes: DataFrame, before: DataFrame, made: DataFrame | None) -> DataFrame:
+        """nodes with the texts made so far, else those of before."""
+        old = before.select(F.col("_id").alias("unique_id"), *[F.col(f"old_{f}").alias(f) for f in describers.FIELDS])
+        if made is None:
+            return nodes.join(old, "unique_id", "left")
+        new = made.select(F.col("id").alias("unique_id"), *describers.FIELDS)
+        return nodes.join(new.unionByName(old.join(new.select("unique_id"), "unique_id", "left_anti")), "unique_id", "left")
+
+    def _refined(self, made: DataFrame, dirty: DataFrame, edges: DataFrame, old: DataFrame | None, force: bool) -> DataFrame:
+        """made with ``context``: the second pass of a describer over variables, from what holds them and who uses them. It sees
+        those without a context and those downstream of a changed contract; others keep theirs."""
+        kept = F.lit(None).cast("string")
+        known = made.limit(0).select(F.col("unique_id").alias("_id"), kept.alias("context"))
+        if old is not None and "context" in old.columns:
+            known = old.select(F.col("unique_id").alias("_id"), "context")
+        rows = made.join(known, F.col("unique_id") == F.col("_id"), "left").drop("_id")
+        if self.make is None:
+            return rows
+        is_fn = T.kind_prefix(F.col("kind")) == "fn"
+        v = rows.where(F.lower("kind").isin(*listing.REFINED_KINDS)).select(F.col("unique_id").alias("id"), "rel_path", "fqdn", "name", "context")
+        types = rows.where(T.kind_prefix(F.col("kind")) == "type").select(F.col("unique_id").alias("id"), "rel_path", "name", "kind", "line_start", "purpose", "overview")
+        functions = rows.where(is_fn).select(F.col("unique_id").alias("id"), "name", "rel_path", "callees", "signature", "purpose")
+        holders = links.containers(v, types)
+        used = links.related_functions(v, functions)
+        shown = functions.select(F.col("id").alias("fn"), F.struct("name", F.coalesce("purpose", F.lit(links.UNKNOWN_PURPOSE)).alias("purpose")).alias("f"))
+        users = used.join(shown, "fn").groupBy("id").agg(F.sort_array(F.collect_set("f")).alias("functions"))
+        interface = rows.where("promises").select(F.col("unique_id").alias("id"))
+        changed = interface.union(dirty.select("id")).distinct()
+        by_type = holders.where("parent IS NOT NULL").select("id", F.col("parent").alias("name")).join(v.select("id", "rel_path"), "id")
+        by_type = by_type.join(types.select("rel_path", "name", F.col("id").alias("type_id")), ["rel_path", "name"]).select("id", "type_id")
+        callers = edges.select(F.col("dst").alias("id"), F.col("src").alias("caller"))
+        there = F.lit(True) if old is not None else F.lit(False)
+        down = incremental.is_downstream(v.withColumn("doc_there", there), changed, interface, by_type, callers, functions)
+        state = v.select("id", "context").join(down, "id").join(holders.withColumnsRenamed({"kind": "holder_kind", "purpose": "holder_purpose"}).drop("overview"), "id", "left").join(users, "id", "left")
+        related = F.col("parent").isNotNull() | F.col("functions").isNotNull()
+        wanted = state.where(incremental.needs_refinement(F.lit(True), related, F.lit(force), F.lit(not changed.isEmpty()), F.col("downstream"), F.col("context")))
+        asked = wanted.select(F.col("id").alias("unique_id"), "parent", "holder_kind", "holder_purpose", "functions").join(rows.select("unique_id", "name", "kind", "signature", "code"), "unique_id")
+        new = describers.refine(asked, self.make).toDF("_id", "new")
+        return rows.join(new, F.col("unique_id") == F.col("_id"), "left").withColumn("context", F.coalesce("new", "context")).drop("_id", "new")
 
     def _documents(self, files: DataFrame, made: DataFrame, edges: DataFrame) -> DataFrame:
         callers = links.callers_shown(edges, made.select(F.col("unique_id").alias("id"), "name", "rel_path", "purpose"))
-        rows = made.join(callers.select(F.col("id").alias("unique_id"), "callers"), "unique_id", "left").withColumn("context", F.lit(None).cast("string"))
+        rows = made.join(callers.select(F.col("id").alias("unique_id"), "callers"), "unique_id", "left")
         cols = {c: F.col(c) for c in ("name", "kind", "fqdn", "signature", "line_start", "line_end", "purpose", "context", "overview", "inputs", "outputs", "return_type", "params", "callees", "callers")}
         section = markdown.symbol_section(cols | {"snippet": F.col("code")}, 2, self.registry.code_language(F.col("rel_path")))
         rows = rows.withColumn("section", section).withColumn("depth", F.size(F.split("scope", r"\.")) - 1)
@@ -134,7 +198,7 @@ class Engine:
 
     def description(self, text: str) -> DataFrame:
         s = self._symbols()
-        cache = s.select("unique_id", "purpose", "overview", F.lit(None).cast("string").alias("top_down_context"))
+        cache = s.select("unique_id", "purpose", "overview", F.col("context").alias("top_down_context"))
         return listing.describe(s.drop("purpose", "overview"), cache, text)
 
     def locate(self, text: str, limit: int = 10) -> DataFrame:

@@ -115,6 +115,12 @@ def _python_logic(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield codes.map(one)
 
 
+def dedent(code: Column) -> Column:
+    """The code without the indent of its first line, so that a method stands for itself."""
+    indent = F.regexp_extract(code, r"^[ \t]*", 0)
+    return F.when(indent == "", code).otherwise(F.regexp_replace(code, F.concat(F.lit("(?m)^"), indent), F.lit("")))
+
+
 def strip_python_comments(code: Column) -> Column:
     """By the syntax tree; text that is not valid Python loses its # comments."""
     return F.coalesce(_python_logic(code), strip_hash_comments(code))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,10 +98,24 @@ def files_with_changes(symbols: DataFrame, *changed: DataFrame) -> DataFrame:
     return symbols.join(every, "id", "left").groupBy("rel_path").agg(F.coalesce(F.bool_or("_hit"), F.lit(False)).alias("dirty"))
 
 
-def propagate_contracts(scratch: Scratch, dirty: DataFrame, edges: DataFrame, kept: DataFrame | None = None) -> DataFrame:
-    """(id, hops) of what is made anew, level by level: dirty(id), and the direct callers of whatever is made anew unless
-    it is in kept(id), the symbols whose contract stays the same when they are made anew."""
-    return propagate(scratch, dirty, edges, kept)
+def make_anew(scratch: Scratch, dirty: DataFrame, levels: DataFrame, edges: DataFrame, make: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
+    """Rows of ``make`` for dirty(id) and for the direct callers, again and again, of whatever changes its contract.
+
+    The pending symbol with the lowest level(id, level) comes first, so that a caller is made once, after all its callees.
+    make(now(id), made so far) gives (id, changed, ...), changed being whether the contract is another one; only those pass
+    on to edges(src calls dst). There are as many rounds as levels with anything to make: a change that stops at
+    an unchanged contract costs its own round alone. What is no node of levels is on level 0.
+    """
+    level = levels.select(F.col("id").alias("_id"), "level")
+    at = lambda ids: ids.join(level, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("level", F.lit(0)).cast("long").alias("level"))
+    pending, made = scratch.save(at(dirty.select("id").distinct()), "pending"), None
+    while (low := pending.agg(F.min("level")).first()[0]) is not None:
+        new = scratch.save(make(pending.where(F.col("level") == low).select("id"), made), "round")
+        made = new if made is None else scratch.save(made.unionByName(new), "made")
+        callers = edges.join(new.where("changed").select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+        rest = pending.where(F.col("level") != low).unionByName(at(callers)).distinct()
+        pending = scratch.save(rest.join(made.select("id"), "id", "left_anti"), "pending")
+    return make(pending.select("id"), None) if made is None else made
 
 
 def needs_refinement(describer: Column, related: Column, force: Column, any_change: Column, downstream: Column, context: Column) -> Column:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.naming import doc_names
 from tessera.functions.text import KINDS, first_filled, kind_prefix, location
+from tessera.operators.places import numbered
 from tessera.operators.search import find_tiered
+from tessera.plans.scratch import Scratch
 
 #: Kinds listed beside those of the prefix.
 FUNCTION_PARTS = ("func", "method", "constructor", "destructor")
@@ -17,6 +19,8 @@ VARIABLES = ("variable", "var", "const", "constant", "enum_constant", "field", "
 TYPES = ("struct", "class", "enum", "interface", "typedef", "union", "type", "data class", "object", "companion object", "annotation")
 #: File-name infixes and kinds of the three parts of a document set.
 PARTS = {"type": ("struct", "class", "enum"), "var": ("variable", "field"), "fn": ("function", "method")}
+#: Kinds that a second pass describes from what is around them.
+REFINED_KINDS = ("field", "member", "variable", "var", "const", "constant", "enum_constant")
 #: Kinds whose description needs no describer, beside all that contain "enum".
 STATIC_KINDS = ("enum_constant", "typedef", "field", "member", "variable", "const")
 
@@ -26,6 +30,11 @@ def all_symbols(symbols: DataFrame) -> DataFrame:
     return symbols.orderBy(F.asc_nulls_first("rel_path"), F.asc_nulls_first("line_start"), "unique_id")
 
 
+def symbol_places(scratch: Scratch, symbols: DataFrame) -> DataFrame:
+    """symbols plus ``place``, from 0, in the order of all_symbols."""
+    return numbered(scratch, symbols, [F.asc_nulls_first("rel_path"), F.asc_nulls_first("line_start"), "unique_id"])
+
+
 def indexed_files(listed: DataFrame, index: DataFrame, docs: DataFrame) -> DataFrame:
     """(file): distinct and in order, of the first source that has any: the list's lines, the index, or the names of file
     documents (those of symbols, ``*.fn.md`` and the like, do not count)."""
@@ -134,25 +143,23 @@ def levels_in_order(nodes: DataFrame, ranks: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(steps), "raw").select("id", "level").orderBy("level", "id")
 
 
-def flatten_tree(nodes: DataFrame, rounds: int = 64) -> DataFrame:
+def flatten_tree(nodes: DataFrame) -> DataFrame:
     """nodes(path, parent, ordinal, id, kind, name) of one tree a path, in pre-order with unique ids and names.
 
     ``parent`` is the id of the enclosing symbol or null, ``ordinal`` the place among siblings. The result has ``raw_name``
     (enclosing names and own, by dots), ``base`` (path::prefix.raw_name), ``unique_id`` (a repeated base gets #n in
-    pre-order) and ``fqdn``. One round a depth; deeper than ``rounds`` raises.
+    pre-order) and ``fqdn``. One round a depth; rows whose parents make a ring belong to no tree and do not show.
     """
     place = F.lpad(F.col("ordinal").cast("string"), 9, "0")
     level = nodes.where("parent IS NULL").withColumns({"raw_name": F.col("name"), "at": place})
     out = level
-    for _ in range(rounds):
+    while True:
         up = level.select(F.col("path").alias("_path"), F.col("id").alias("_id"), F.col("raw_name").alias("_raw"), F.col("at").alias("_at"))
         level = nodes.join(up, (F.col("path") == F.col("_path")) & (F.col("parent") == F.col("_id")))
         level = level.withColumns({"raw_name": F.concat_ws(".", "_raw", "name"), "at": F.concat_ws("/", F.col("_at"), place)}).drop("_path", "_id", "_raw", "_at")
         if level.isEmpty():
             break
         out = out.unionByName(level)
-    else:
-        raise RuntimeError(f"a tree deeper than {rounds}")
     base = F.concat(F.col("path"), F.lit("::"), kind_prefix(F.col("kind")), F.lit("."), F.col("raw_name"))
     nth = F.row_number().over(Window.partitionBy("base").orderBy("at"))
     out = out.withColumn("base", base).withColumn("_nth", nth)

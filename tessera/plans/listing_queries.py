@@ -59,11 +59,7 @@ def list_types(spark, d):
 
 @query(f"SELECT unique_id, CAST(row_number() OVER (ORDER BY rel_path NULLS FIRST, line_start NULLS FIRST, unique_id) AS BIGINT) AS place FROM ({_INDEX})")
 def all_symbols_ordered(spark, d):
-    rows = listing.all_symbols(_index(spark, d)).select("unique_id", F.monotonically_increasing_id().alias("at"))
-    # The place shows the order: ids grow with the partitions of the range sort. One narrow window over the whole table.
-    from pyspark.sql import Window
-
-    return rows.select("unique_id", F.row_number().over(Window.orderBy("at")).cast("long").alias("place"))
+    return listing.symbol_places(Scratch(spark), _index(spark, d)).select("unique_id", (F.col("place") + 1).alias("place"))
 
 
 @query(f"SELECT DISTINCT rel_path AS file FROM ({_INDEX})")

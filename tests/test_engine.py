@@ -120,3 +120,49 @@ def test_streaming_sessions(spark, tmp_path):
     query = sessions(stream, "k", "ts", "10 minutes", "1 minute").writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(r.n for r in spark.table("closed").collect()) == [1, 2]
+
+
+class Counting:
+    """Purposes from the first comment of the code, so that an edit may keep them; counts what it sees in a folder."""
+
+    folder = ""
+
+    def _seen(self, what, ids):
+        for i in ids:
+            with open(os.path.join(self.folder, f"{what}-{i.replace('/', '|')}"), "a") as f:
+                f.write("x")
+
+    def describe(self, symbols):
+        self._seen("fn", symbols.unique_id)
+        said = symbols.code.str.extract(r"#: (.*)", expand=False).fillna("Does its work.")
+        return pd.DataFrame({"unique_id": symbols.unique_id, "purpose": said, "inputs": "", "outputs": "", "overview": symbols.callee_context.fillna("")})
+
+    def refine(self, variables):
+        self._seen("var", variables.unique_id)
+        return pd.DataFrame({"unique_id": variables.unique_id, "context": variables.name.str.upper()})
+
+
+def test_sync_stops_at_unchanged_contracts(spark, tmp_path):
+    from tessera.engine import Engine
+
+    tree, seen = str(tmp_path / "tree"), tmp_path / "seen"
+    seen.mkdir()
+    leaf = "def leaf(x):\n    #: {}\n    y = x + {}\n    return y\n"
+    rest = "def middle(x):\n    return leaf(x)\n\ndef top():\n    return middle(1)\n\ndef alone():\n    return 0\n"
+    make = type("Mine", (Counting,), {"folder": str(seen)})
+    engine = Engine(spark, tree, str(tmp_path / "store"), make=make)
+
+    def told():
+        out = sorted(p.name.split(".")[-1] for p in seen.iterdir())
+        for p in seen.iterdir():
+            p.unlink()
+        return out
+
+    _write(tree, {"a.py": leaf.format("Adds one.", 1), "b.py": rest})
+    assert engine.sync()["made"] == 4 and told() == ["alone", "leaf", "middle", "top"]
+    texts = {r.name: r.overview for r in engine.store.read("symbols").collect()}
+    assert "Adds one." in texts["middle"] and "`middle`" in texts["top"] and texts["leaf"] == ""
+    _write(tree, {"a.py": leaf.format("Adds one.", 1).replace("y = x", "y  =  x")})
+    assert engine.sync()["made"] == 0 and told() == []  # only the layout
+    _write(tree, {"a.py": leaf.format("Counts whales at sea.", 1).replace("(x):", "(x, z):")})
+    assert engine.sync()["made"] == 2 and told() == ["leaf", "middle"]  # middle promises what it did, so top stays
