@@ -45,6 +45,28 @@ def block_end_lines(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_name", block_ends(body, F.lit(1)).alias("last"))
 
 
+_BLOCK = """CASE doc_id % 4 WHEN 0 THEN 'int f() {' || chr(10) || x || chr(10) || '}' || chr(10) || 'int g;' WHEN 1 THEN 'int x' || chr(10) || ' = 1;' || chr(10) || x
+ WHEN 2 THEN repeat('a' || chr(10), CAST(doc_id % 9 AS INT)) || '{ if (b) { /* } ' || chr(10) || '*/ c = "}"; }' || chr(10) || x || ' }' ELSE x END"""
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {_BLOCK} AS t FROM (SELECT doc_id, replace(coalesce(text, ''), chr(13), '') AS x FROM documents)),
+ k AS (SELECT doc_id, t, regexp_extract_all(t, '(?s)/\*.*?(?:\*/|\z)|//[^\n]*|"(?:[^"\\\n]+|\\[^\n]?)*"?|''(?:[^''\\\n]+|\\[^\n]?)*''?|[{{}};\n]') AS ks FROM t),
+ m AS (SELECT doc_id, i, ks[i] AS m FROM k, range(1, len(ks) + 1) r(i)),
+ r AS (SELECT doc_id, i, m, 1 + coalesce(sum(length(m) - length(replace(m, chr(10), ''))) OVER before, 0) AS line, coalesce(sum(CASE m WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i), 0) AS depth,
+  coalesce(sum(CAST(m = '{{' AS INT)) OVER before, 0) AS opens FROM m WINDOW before AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ e AS (SELECT doc_id, min(line) FILTER (m = '{{') AS body, min(line) FILTER (depth = 0 AND (m = '}}' AND opens > 0 OR m = ';' AND opens = 0)) AS closed FROM r GROUP BY doc_id)
+ SELECT CAST(k.doc_id AS BIGINT) AS doc_id, CAST(CASE WHEN least(body, closed) <= 7 THEN coalesce(closed, length(t) - length(replace(t, chr(10), '')) + CASE WHEN t LIKE '%' || chr(10) THEN 0 ELSE 1 END) ELSE 1 END AS INT) AS last FROM k LEFT JOIN e USING (doc_id)""")
+def block_ends_documents(spark, sf_dir):
+    """Blocks around all documents' texts, with the quotes, slashes and signs that these have."""
+    from tessera.sources.blocks import block_ends
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit("")).alias("x"))
+    i, x = F.col("doc_id"), F.col("x")
+    third = F.concat(F.repeat(F.lit("a\n"), (i % 9).cast("int")), F.lit('{ if (b) { /* } \n*/ c = "}"; }\n'), x, F.lit(" }"))
+    text = F.when(i % 4 == 0, F.concat(F.lit("int f() {\n"), x, F.lit("\n}\nint g;"))).when(i % 4 == 1, F.concat(F.lit("int x\n = 1;\n"), x)).when(i % 4 == 2, third).otherwise(x)
+    return docs.select("doc_id", block_ends(text, F.lit(1)).alias("last"))
+
+
 @query(r"""SELECT file, snippet FROM (SELECT * FROM (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS file, trim(regexp_extract(coalesce(text, ''), 'the (\w+)', 1)) AS snippet FROM documents ORDER BY file LIMIT 15) WHERE snippet <> '' ORDER BY file LIMIT 8)""")
 def first_snippets(spark, sf_dir):
     """Of the first 15 documents by name the first 8 with a match: a top-k report."""

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+
+from tessera.functions.text import LINE_ENDS, count_lines
 
 #: Fixed value: without a brace for more than so many lines after the first, a block is its first line.
 PATIENCE = 4
@@ -30,50 +28,33 @@ def clean_comment(text: Column) -> Column:
     return F.when(bare.startswith("/*"), joined(block)).when(bare.startswith("//"), joined(plain)).otherwise(bare)
 
 
-def block_end(lines: list[str], start: int) -> int:
-    """Last line (1-based) of the block that begins at ``start``: where its braces close, or where a ``;`` ends it before
-    any opens. Strings and comments do not count. Without a brace soon, or a closing one, the start or the last line."""
-    if not 1 <= start <= len(lines):
-        return max(1, start)
-    depth, opened, comment = 0, False, False
-    for at in range(start - 1, len(lines)):
-        line, i = lines[at], 0
-        while i < len(line):
-            two, c = line[i : i + 2], line[i]
-            if comment:
-                comment = two != "*/"
-                i += 1 if comment else 2
-            elif two == "/*":
-                comment = True
-                i += 2
-            elif two == "//":
-                break
-            elif c in "\"'":
-                i += 1
-                while i < len(line) and line[i] != c:
-                    i += 2 if line[i] == "\\" else 1
-                i += 1
-            else:
-                if c == "{":
-                    depth, opened = depth + 1, True
-                elif c == "}":
-                    depth -= 1
-                    if opened and depth == 0:
-                        return at + 1
-                elif c == ";" and not opened and depth == 0:
-                    return at + 1
-                i += 1
-        if not opened and at > start + PATIENCE:
-            return start
-    return len(lines) if opened else start
+#: What a block's extent depends on: comments, literals (up to the end of their line), braces, semicolons and line ends.
+MARKS = r"(?s)/\*.*?(?:\*/|\z)|//[^\n]*|\"(?:[^\"\\\n]++|\\[^\n]?)*+\"?|'(?:[^'\\\n]++|\\[^\n]?)*+'?|[{};\n]"
 
 
 def block_ends(content: Column, start: Column) -> Column:
-    """``block_end`` of each row: files go to Python in Arrow batches."""
-
-    @F.pandas_udf(IntegerType())
-    def ends(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, starts in parts:
-            yield pd.Series([None if t is None or pd.isna(s) else block_end(t.splitlines(), int(s)) for t, s in zip(texts, starts, strict=True)], dtype="Int32")
-
-    return ends(content, start)
+    """Last line (1-based) of the block that begins at line ``start`` of each text: where its braces balance, or where a ``;``
+    stands before any brace. Braces in literals and comments do not count.
+
+    Where neither comes in the first lines, the block is its first line; braces that never balance reach to the last one. A
+    start outside the text stands for itself, at least 1; null texts or starts give null. One pass of a pattern finds the marks, and
+    a sum runs over them.
+    """
+    lines = F.split(content, LINE_ENDS)
+    marks = F.regexp_extract_all(F.array_join(F.slice(lines, start, F.size(lines)), "\n"), F.lit(MARKS), F.lit(0))
+    long = F.lit(PATIENCE + 2)  # lines after the first in which the block must show itself
+
+    def add(s: Column, mark: Column) -> Column:
+        depth = s["depth"] + F.when(mark == "{", 1).when(mark == "}", -1).otherwise(0)
+        body = F.coalesce(s["body"], F.when(mark == "{", s["line"]))
+        ends = ((mark == "}") & s["body"].isNotNull() | (mark == ";") & s["body"].isNull()) & (depth == 0)
+        down = F.length(mark) - F.length(F.replace(mark, F.lit("\n")))
+        return F.struct((s["line"] + down).alias("line"), depth.alias("depth"), body.alias("body"), F.coalesce(s["end"], F.when(ends, s["line"])).alias("end"))
+
+    nothing = F.lit(None).cast("int")
+    zero = F.struct(F.lit(0).alias("line"), F.lit(0).alias("depth"), nothing.alias("body"), nothing.alias("end"))
+    seen = F.aggregate(marks, zero, add)
+    shown = F.least(seen["body"], seen["end"]) <= long
+    last = F.when(~F.coalesce(shown, F.lit(False)), start).otherwise(F.coalesce(start + seen["end"], count_lines(content)))
+    outside = (start < 1) | (start > count_lines(content))
+    return F.when(content.isNotNull() & start.isNotNull(), F.when(outside, F.greatest(F.lit(1), start)).otherwise(last).cast("int"))
