@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,42 +9,40 @@ from pyspark.sql import functions as F
 NO_SAMPLES, NO_DATA, RIDGE, PIVOT, FLOOR = [0.8, 0.02, 0.0, 0.0], [0.8, 0.03, 0.0, 0.0], 1e-5, 1e-12, 0.05
 
 
-def power_sums(x: Column, y: Column) -> list[Column]:
-    """Sums of x^p (p to 6) and y x^p (p to 3), x at least 1 and y at least 0.01: one aggregation, partial first."""
+def power_sums(x: Column, y: Column, degree: int = 3) -> list[Column]:
+    """Sums of x^p (p to twice the degree) and y x^p (p to the degree), x at least 1 and y at least 0.01: one aggregation, partial first."""
     x, y = F.greatest(x.cast("double"), F.lit(1.0)), F.greatest(y.cast("double"), F.lit(0.01))
-    return [F.sum(F.pow(x, p)).alias(f"sx{p}") for p in range(7)] + [F.sum(y * F.pow(x, p)).alias(f"sy{p}") for p in range(4)]
-
-
-def solve(a: list[list[float]], b: list[float]) -> list[float]:
-    """Gauss with partial pivots; an unknown with a tiny pivot is 0."""
-    n = len(b)
-    m = np.hstack([np.array(a, float), np.array(b, float)[:, None]])
-    lead = [False] * n
-    for i in range(n):
-        p = i + int(np.argmax(np.abs(m[i:, i])))
-        m[[i, p]] = m[[p, i]]
-        if abs(m[i, i]) < PIVOT:
-            continue
-        lead[i] = True
-        rows = np.arange(n) != i
-        m[rows] -= np.outer(m[rows, i] / m[i, i], m[i])
-    return [float(m[i, n] / m[i, i]) if lead[i] else 0.0 for i in range(n)]
-
-
-def poly_fit(samples: DataFrame, x: str, y: str) -> list[float]:
-    """Cubic least squares with ridge; one row of sums reaches the driver."""
-    r = samples.agg(F.count("*").alias("n"), F.max(y).alias("last"), *power_sums(F.col(x), F.col(y))).first()
-    if not r["n"]:
-        return list(NO_SAMPLES)
-    if r["n"] == 1:
-        return [max(0.1, float(r["last"])), 0.0, 0.0, 0.0]
-    a = [[r[f"sx{i + j}"] + (RIDGE if i == j else 0.0) for j in range(4)] for i in range(4)]
-    return solve(a, [r[f"sy{i}"] for i in range(4)])
-
-
-def poly_value(coeffs: list[float], x: Column) -> Column:
-    x = F.greatest(x.cast("double"), F.lit(1.0))
-    return F.greatest(F.lit(FLOOR), sum((F.lit(float(c)) * F.pow(x, i) for i, c in enumerate(coeffs)), F.lit(0.0)))
+    return [F.sum(F.pow(x, p)).alias(f"sx{p}") for p in range(2 * degree + 1)] + [F.sum(y * F.pow(x, p)).alias(f"sy{p}") for p in range(degree + 1)]
+
+
+def solved(sums: DataFrame, degree: int = 3) -> DataFrame:
+    """sums(sx0.., sy0..) plus ``coeffs``, lowest first: the least squares with a ridge, solved in every row.
+
+    The rows of the system are an array, and a fold over its unknowns clears each one's column in the other rows. The
+    matrix is symmetric and positive, so the diagonal serves; an unknown whose diagonal entry vanishes is 0.
+    """
+    n = range(degree + 1)
+    row = lambda i: F.array(*[F.col(f"sx{i + j}") + (RIDGE if i == j else 0.0) for j in n], F.col(f"sy{i}"))
+    gone = lambda m, k: F.abs(m[k][k]) < PIVOT
+    clear = lambda m, k: F.transform(m, lambda r, i: F.when((i == k) | gone(m, k), r).otherwise(F.zip_with(r, m[k], lambda x, y: x - r[k] / m[k][k] * y)))
+    m = F.aggregate(F.array(*map(F.lit, n)), F.array(*map(row, n)), clear)
+    return sums.withColumn("coeffs", F.transform(m, lambda r, i: F.when(F.abs(r[i]) < PIVOT, 0.0).otherwise(r[degree + 1] / r[i])))
+
+
+def fits(samples: DataFrame, x: str, y: str, by: tuple[str, ...] = (), degree: int = 3) -> DataFrame:
+    """(by..., n, coeffs): a polynomial for each group of samples; of a single sample its value, at least 0.1. Without samples
+    there is no row, but the fixed coefficients where there are no groups either. No sum reaches the driver."""
+    sums = samples.groupBy(*by).agg(F.count("*").alias("n"), F.max(y).cast("double").alias("one"), *power_sums(F.col(x), F.col(y), degree))
+    lone = F.array(F.greatest(F.lit(0.1), F.col("one")), *[F.lit(0.0)] * degree)
+    none = F.array(*map(F.lit, NO_SAMPLES[: degree + 1]))
+    return solved(sums, degree).select(*by, "n", F.when(F.col("n") == 0, none).when(F.col("n") == 1, lone).otherwise(F.col("coeffs")).alias("coeffs"))
+
+
+def category_fits(log: DataFrame, key: str, category: str, x: str, y: str, order: list, last: int = 100, degree: int = 3) -> DataFrame:
+    """(key, category, n, coeffs) from the ``last`` measurements of each, by ``order``: what predictions read."""
+    w = Window.partitionBy(key, category).orderBy(*order)
+    recent = log.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= last)
+    return fits(recent.select(F.col(key).alias("key"), F.col(category).alias("category"), x, y), x, y, ("key", "category"), degree)
 
 
 def cold_flags(events: DataFrame, key: str, ts: str, tie: str, idle_s: int = 60) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import costs
 from tessera.operators import chunks as C
 from tessera.operators import reduce as R
 from tessera.plans.catalog import query
@@ -41,10 +42,38 @@ def poly_power_sums(spark, d):
     return s.select(*[F.round(F.col(f"sx{p}") / 1e6, 3).alias(f"sx{p}") for p in range(5)], *[F.round(F.col(f"sy{p}") / 1e9, 3).alias(f"sy{p}") for p in range(4)])
 
 
-@query()
+def _gauss(sums: str, by: str) -> str:
+    """SQL of the 4 x 4 system with a ridge, one unknown eliminated at a time, and the values at 10 to 50."""
+    cells = [(i, j) for i in range(4) for j in range(5)]
+    start = ", ".join(f"sx{i + j}{' + 0.00001' if i == j else ''} AS a{i}{j}" if j < 4 else f"sy{i} AS a{i}4" for i, j in cells)
+    steps, at = [f"g0 AS (SELECT {by}{start} FROM ({sums}))"], "g0"
+    for k in range(3):
+        row = ", ".join(f"a{i}{j} - a{i}{k} / a{k}{k} * a{k}{j} AS a{i}{j}" if i > k else f"a{i}{j}" for i, j in cells)
+        steps.append(f"g{k + 1} AS (SELECT {by}{row} FROM {at})")
+        at = f"g{k + 1}"
+    back = "c3 AS (SELECT *, a34 / a33 AS c3 FROM g3), c2 AS (SELECT *, (a24 - a23 * c3) / a22 AS c2 FROM c3), c1 AS (SELECT *, (a14 - a12 * c2 - a13 * c3) / a11 AS c1 FROM c2), c0 AS (SELECT *, (a04 - a01 * c1 - a02 * c2 - a03 * c3) / a00 AS c0 FROM c1)"
+    return f"{', '.join(steps)}, {back} SELECT {by}CAST(x AS BIGINT) AS x, round(greatest(0.05, c0 + c1 * x + c2 * x * x + c3 * x * x * x), 2) AS predicted FROM c0, (VALUES (10), (20), (30), (40), (50)) v(x)"
+
+
+_SUMS = ", ".join([f"sum(pow(q, {p})) AS sx{p}" for p in range(7)] + [f"sum(t * pow(q, {p})) AS sy{p}" for p in range(4)])
+_HUNDRED = """SELECT CAST(l_suppkey AS BIGINT) AS key, l_returnflag AS category, greatest(l_quantity, 1.0) AS q, greatest(floor(l_extendedprice / 100), 0.01) AS t FROM lineitem
+ QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) <= 100"""
+
+
+@query("WITH " + _gauss(f"SELECT {_SUMS} FROM (SELECT greatest(l_quantity, 1.0) AS q, greatest(floor(l_extendedprice / 100), 0.01) AS t FROM lineitem)", ""))
 def poly_fit(spark, d):
-    c = R.poly_fit(table(spark, d, "lineitem").select("l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice")
-    return spark.range(1, 6).select((F.col("id") * 10).alias("x"), F.round(R.poly_value(c, F.col("id") * 10), 2).alias("predicted"))
+    rows = table(spark, d, "lineitem").select("l_quantity", F.floor(F.col("l_extendedprice") / 100).alias("t"))
+    at = R.fits(rows, "l_quantity", "t").select(F.explode(F.array(*[F.lit(x).cast("long") for x in (10, 20, 30, 40, 50)])).alias("x"), "coeffs")
+    return at.select("x", F.round(costs.polynomial(F.col("coeffs"), F.col("x")), 2).alias("predicted"))
+
+
+@query("WITH " + _gauss(f"SELECT key, category, {_SUMS} FROM ({_HUNDRED}) GROUP BY ALL", "key, category, "))
+def category_fits(spark, d):
+    """Each supplier is a server, each return flag a category; the last hundred lines are its measurements."""
+    log = table(spark, d, "lineitem").withColumn("t", F.floor(F.col("l_extendedprice") / 100))
+    found = R.category_fits(log, "l_suppkey", "l_returnflag", "l_quantity", "t", [F.desc(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber")])
+    wanted = found.select("key", "category", F.explode(F.array(*[F.lit(x).cast("long") for x in (10, 20, 30, 40, 50)])).alias("lines"), F.lit(1.0).alias("complexity"))
+    return costs.predict_durations(wanted, found).select("key", "category", F.col("lines").alias("x"), F.round("seconds", 2).alias("predicted"))
 
 
 @query("""SELECT CAST(event_id AS BIGINT) AS event_id, CAST(coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 60000000, true) AS BIGINT) AS is_cold FROM events""")

@@ -156,6 +156,23 @@ def dirty_propagation(spark, d):
     return graph.propagate(Scratch(spark), n.where("id % 97 = 5"), e)
 
 
+@query(f"""WITH RECURSIVE g AS (SELECT DISTINCT src, dst FROM {_GRAPH} WHERE src <> dst), m(id) AS (SELECT p_partkey FROM part WHERE p_partkey % 97 = 5
+ UNION SELECT src FROM m JOIN g ON dst = id WHERE id % 3 = 1) SELECT CAST(id AS BIGINT) AS id, id % 3 = 1 AS changed FROM m""")
+def contract_gate(spark, d):
+    """What is made anew from a 97th of the parts on: each gets the same purpose, another one, or the same in other words."""
+    n, e = _graph(spark, d)
+    scratch = Scratch(spark)
+    k, old, one = F.col("id") % 3, F.lit("Reads the file."), F.lit("")
+    same = (one, one)
+
+    def make(now, made):
+        new = F.when(k == 0, old).when(k == 1, "Opens a socket").otherwise("reads the FILE")
+        callees = (F.array(one), F.array(one))
+        return now.select("id", incremental.contract_changed(F.lit(True), F.lit(True), same, same, callees, same, same, (old, new)).alias("changed"))
+
+    return incremental.make_anew(scratch, n.where("id % 97 = 5"), graph.levels(scratch, n, e), e, make)
+
+
 @query(f"""WITH g AS (SELECT DISTINCT src, dst FROM {_GRAPH} WHERE src <> dst) SELECT CAST(p_partkey AS BIGINT) AS id,
  coalesce((SELECT string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) FROM g WHERE dst = p_partkey), '') AS callers,
  coalesce((SELECT string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) FROM g WHERE src = p_partkey), '') AS callees FROM part""")

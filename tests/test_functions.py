@@ -139,16 +139,22 @@ def test_reduced_summaries(spark):
         assert [(x[0], x[2]) for x in sorted(got[g])] == [(level, t) for t in items]
 
 
-def test_fit_and_solver(spark):
+def test_fits_by_columns(spark):
     import numpy as np
 
+    from tessera.functions import costs
     from tessera.operators import reduce as R
 
-    assert np.allclose(R.solve([[0.0, 2.0], [4.0, 1.0]], [2.0, 6.0]), [1.25, 1.0]) and R.solve([[1.0, 1.0], [1.0, 1.0]], [2.0, 2.0])[1] == 0.0
     x = np.arange(1, 40)
     y = 3 + 0.5 * x - 0.02 * x**2 + 0.001 * x**3
-    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double")
-    assert np.allclose(R.poly_fit(df, "x", "y"), [3, 0.5, -0.02, 0.001], atol=1e-3)
-    assert R.poly_fit(df.where("false"), "x", "y") == R.NO_SAMPLES and R.poly_fit(df.where("x = 1"), "x", "y")[1:] == [0.0, 0.0, 0.0]
-    got = df.limit(1).select(R.poly_value([1.0, 2.0], F.lit(-5)).alias("v"), R.poly_value([-9.0], F.lit(2)).alias("w")).first()
-    assert tuple(got) == (3.0, 0.05)
+    rows = [("a", float(a), float(b), i) for i, (a, b) in enumerate(zip(x, y, strict=True))] + [("b", 2.0, 0.05, 0), (None, 5.0, 7.0, 0), (None, 9.0, 3.0, 1)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, i int")
+    got = {r.g: r for r in R.fits(df, "x", "y", ("g",)).collect()}
+    assert np.allclose(got["a"].coeffs, [3, 0.5, -0.02, 0.001], atol=1e-3) and got["a"].n == 39 and list(got["b"].coeffs) == [0.1, 0.0, 0.0, 0.0]
+    line = R.fits(df.where("g IS NULL"), "x", "y", degree=1).first().coeffs
+    assert np.allclose(line, [12, -1], atol=1e-3)
+    assert list(R.fits(df.where("false"), "x", "y").first().coeffs) == R.NO_SAMPLES and R.fits(df.where("false"), "x", "y", ("g",)).count() == 0
+    two = R.category_fits(df.withColumn("c", F.lit("k")), "g", "c", "x", "y", [F.desc("i")], last=2, degree=1).where("key = 'a'").first()
+    assert two.n == 2 and abs(two.coeffs[0] + 39 * two.coeffs[1] - y[38]) < 0.05
+    values = df.limit(1).select(costs.polynomial(F.array(F.lit(1.0), F.lit(2.0)), F.lit(-5)).alias("v"), costs.polynomial(F.array(F.lit(-9.0)), F.lit(2)).alias("w")).first()
+    assert tuple(values) == (3.0, 0.05)
