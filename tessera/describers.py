@@ -26,6 +26,10 @@ class Describer(Protocol):
         functions); may be missing, then variables have no context."""
         ...
 
+    def summarise(self, chunks: pd.DataFrame) -> pd.DataFrame:
+        """key and ``summary`` of chunks(key, category, text); may be missing, then modules are told by their first items."""
+        ...
+
 
 def from_names(symbols: DataFrame) -> DataFrame:
     """(unique_id, purpose, inputs, outputs, overview) from kinds and names alone."""
@@ -48,6 +52,20 @@ def by_plugin(symbols: DataFrame, make: Callable[[], Describer], on_chunk: Calla
     return symbols.mapInPandas(run, "unique_id string, " + ", ".join(f"{f} string" for f in FIELDS))
 
 
+def summaries(chunks: DataFrame, make: Callable[[], Describer]) -> DataFrame:
+    """(key, summary) of every chunk; one that the describer leaves out fails the run, as upper levels would lack it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        describer = make()
+        for batch in batches:
+            out = describer.summarise(batch)[["key", "summary"]]
+            if set(out["key"]) != set(batch["key"]):
+                raise ValueError("a chunk has no summary")
+            yield out
+
+    return chunks.mapInPandas(run, "key string, summary string")
+
+
 def refine(variables: DataFrame, make: Callable[[], Describer]) -> DataFrame:
     """(unique_id, context) of the variables that the describer has a context for."""
 
@@ -65,13 +83,3 @@ def describe(symbols: DataFrame, static, make: Callable[[], Describer] | None =
     if make is None:
         return from_names(symbols)
     return from_names(symbols.where(static)).unionByName(by_plugin(symbols.where(~static), make))
-
-
-def whitespace_loop(pieces: list[str], most: int = 50) -> int | None:
-    """The place of the piece with which a stream has gone on for ``most`` white-space characters without end; else None."""
-    run = 0
-    for i, p in enumerate(pieces):
-        run = run + len(p) if not p.strip() else len(p) - len(p.rstrip())
-        if not p.strip() and run >= most:
-            return i
-    return None

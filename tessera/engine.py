@@ -175,7 +175,13 @@ class Engine:
         from pyspark.sql import Window
 
         items = docs.withColumn("nth", F.row_number().over(Window.partitionBy("module").orderBy("unique_id")))
-        lines = documents.reduce_summaries(scratch, items, "module", "nth", "line")
+        if self.make is not None and hasattr(self.make(), "summarise"):
+            kind = "key string, summary string"
+            stored = self.store.read("summaries") if self.store.exists("summaries") else self.spark.createDataFrame([], kind)
+            lines, fresh = documents.reduce_anew(scratch, items, "module", "nth", "line", stored, lambda chunks: describers.summaries(chunks, self.make))
+            self.store.write_if_different("summaries", incremental.upsert(stored, fresh, ["key"]), "key")
+        else:
+            lines = documents.reduce_summaries(scratch, items, "module", "nth", "line")
         return lines.groupBy("module").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("order", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
     # -- asking -------------------------------------------------------------------------------------------------------

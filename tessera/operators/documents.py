@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.incremental import group_key
 from tessera.operators.chunks import capped_chunks
+from tessera.operators.places import numbered
 from tessera.plans.scratch import Scratch
 
 #: Files that do not name a module, folders that do not, and files of the main module.
@@ -61,26 +64,27 @@ def top_functions(functions: DataFrame, ordinal: str, most: int = MOST_FUNCTIONS
 
 
 def reduce_summaries(
-    scratch: Scratch, items: DataFrame, group: str, order: str, text: str, max_items: int = 15, max_chars: int = 3500, stable: bool = False
+    scratch: Scratch, items: DataFrame, group: str, order: str, text: str, max_items: int = 15, max_chars: int = 3500, stable: bool = False, line_of: Callable[[DataFrame, int], DataFrame] | None = None
 ) -> DataFrame:
     """(group, level, order, text): the summaries that stand for each group of items.
 
     Level by level, a group of more than ``max_items`` items or ``max_chars`` characters is cut into chunks and each chunk
-    becomes one line of the first characters of its first items; it stops when it fits, when it no longer shrinks, or
-    after DEEPEST levels. With ``stable`` the items are sorted by text first and cut where their hashes say. What is done
-    stays as it is; one job a level, and only counts reach the driver.
+    becomes one line; it stops when it fits, when it no longer shrinks, or after DEEPEST levels. The line is made of the first
+    characters of the chunk's first items, or by line_of(chunk rows (group, chunk, order, text), level), which gives (group, chunk,
+    line). With ``stable`` the items are sorted by text first and cut where their hashes say. What is done stays as it is; one
+    job a level, and only counts reach the driver. Null groups are a group.
     """
-    live = items.select(group, F.col(order).cast("long").alias("order"), F.col(text).alias("text"))
+    live = items.select(group, F.col(order).cast("long").alias("order"), F.coalesce(text, F.lit("")).alias("text"))
     done = None
     for level in range(DEEPEST + 1):
         was = F.max("_was") if level else F.lit(None).cast("long")
-        sizes = live.groupBy(group).agg(F.count("*").alias("_size"), F.sum(F.length("text")).alias("_chars"), was.alias("_was"))
+        sizes = live.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_size"), F.sum(F.length("text")).alias("_chars"), was.alias("_was"))
         fits = (F.col("_size") <= max_items) & (F.col("_chars") <= max_chars)
         if level:
             fits = fits | (F.col("_size") == 1) | (F.col("_size") >= F.col("_was"))
-        sizes = scratch.save(sizes.select(group, "_size", fits.alias("_fits")), f"sizes-{level}")
+        sizes = scratch.save(sizes.select("_g", "_size", fits.alias("_fits")), f"sizes-{level}")
         live = live.select(group, "order", "text")
-        rows = live.join(sizes, group)
+        rows = live.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
         ended = rows.where("_fits").select(group, F.lit(level).cast("long").alias("level"), "order", "text")
         ended = scratch.save(ended, f"done-{level}")
         done = ended if done is None else done.union(ended)
@@ -89,22 +93,61 @@ def reduce_summaries(
             return done
         rest = rest.select(group, "order", "text", F.col("_size").alias("_was"))
         if stable:
-            rest = rest.withColumn("order", F.row_number().over(Window.partitionBy(group).orderBy("text", "order")).cast("long"))
+            rest = numbered(scratch, rest, ["text", "order"], by=[group], name="_at").drop("order").withColumnRenamed("_at", "order")
         rest = scratch.save(rest, f"rest-{level}")
         chunks = capped_chunks(scratch, rest, group, "order", "text", max_items, max_chars, stable).withColumnsRenamed({group: "_g", "order": "_o"})
-        placed = rest.join(chunks, (F.col(group) == F.col("_g")) & (F.col("order") == F.col("_o")))
-        first = Window.partitionBy(group, "chunk").orderBy("order")
-        shown = placed.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= SHOWN_ITEMS)
-        shown = shown.groupBy(group, "chunk").agg(F.max("_was").alias("_was"), F.sort_array(F.collect_list(F.struct("order", F.substring("text", 1, SHOWN_CHARS).alias("t")))).alias("_t"))
-        line = F.concat(F.lit("- [Group "), (F.col("chunk") + 1).cast("string"), F.lit("]: "), F.array_join(F.transform("_t", lambda t: t["t"]), " / "))
-        live = scratch.save(shown.select(group, (F.col("chunk") + 1).cast("long").alias("order"), line.alias("text"), "_was"), f"level-{level}")
+        placed = rest.join(chunks, F.col(group).eqNullSafe(F.col("_g")) & (F.col("order") == F.col("_o"))).drop("_g", "_o")
+        lines = (line_of or _shown)(scratch.save(placed, f"placed-{level}"), level).withColumnsRenamed({group: "_g", "chunk": "_c"})
+        counted = rest.groupBy(F.col(group).alias("_g2")).agg(F.max("_was").alias("_was"))
+        lines = lines.join(counted, F.col("_g").eqNullSafe(F.col("_g2")))
+        live = scratch.save(lines.select(F.col("_g").alias(group), (F.col("_c") + 1).cast("long").alias("order"), F.col("line").alias("text"), "_was"), f"level-{level}")
     return done.union(live.select(group, F.lit(DEEPEST + 1).cast("long").alias("level"), "order", "text"))
 
 
-def chunk_keys(chunks: DataFrame, group: str, chunk: str, order: str, text: str, language: str, category: str) -> DataFrame:
-    """(group, chunk, key): the cache key of each chunk's text, its items joined by lines; a chunk is bounded by its caps."""
+def _shown(placed: DataFrame, level: int) -> DataFrame:
+    """The first characters of a chunk's first items, with its number."""
+    group = placed.columns[0]
+    first = Window.partitionBy(group, "chunk").orderBy("order")
+    shown = placed.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= SHOWN_ITEMS)
+    shown = shown.groupBy(group, "chunk").agg(F.sort_array(F.collect_list(F.struct("order", F.substring("text", 1, SHOWN_CHARS).alias("t")))).alias("_t"))
+    line = F.concat(F.lit("- [Group "), (F.col("chunk") + 1).cast("string"), F.lit("]: "), F.array_join(F.transform("_t", lambda t: t["t"]), " / "))
+    return shown.select(group, "chunk", line.alias("line"))
+
+
+def chunk_keys(chunks: DataFrame, group: str, chunk: str, order: str, text: str, language: str) -> DataFrame:
+    """(group, chunk, key, text): each chunk's text, its items joined by lines, and its cache key; a chunk is bounded by its caps."""
     joined = chunks.groupBy(group, chunk).agg(F.sort_array(F.collect_list(F.struct(order, text))).alias("_t"))
-    return joined.select(group, chunk, group_key(language, category, F.array_join(F.transform("_t", lambda t: t[text]), "\n")).alias("key"))
+    whole = F.array_join(F.transform("_t", lambda t: t[text]), "\n")
+    return joined.select(group, chunk, group_key(language, F.col(group), whole).alias("key"), whole.alias("text"))
+
+
+def reduce_anew(
+    scratch: Scratch, items: DataFrame, group: str, order: str, text: str, stored: DataFrame, summarise: Callable[[DataFrame], DataFrame], language: str = "English", max_items: int = 15, max_chars: int = 3500
+) -> tuple[DataFrame, DataFrame]:
+    """What reduce_summaries gives with summaries for lines, and the summaries (key, summary) that were not stored before.
+
+    The tree of summaries is addressed by content: a chunk's key is a hash of its items, chunks are cut where the items' hashes say,
+    and a line has no number in it. So an edit changes one or two chunks a level, and only these, the path to the root, go to
+    summarise(chunks(key, category, text)), which gives (key, summary); all others come from stored(key, summary). A
+    chunk that occurs several times is summarised once.
+    """
+    fresh: list[DataFrame] = []
+
+    def line_of(placed: DataFrame, level: int) -> DataFrame:
+        keyed = scratch.save(chunk_keys(placed, group, "chunk", "order", "text", language), f"keys-{level}")
+        known = stored.select("key", "summary")
+        for f in fresh:
+            known = known.union(f)
+        lacking = keyed.join(known.select("key"), "key", "left_anti").dropDuplicates(["key"])
+        fresh.append(scratch.save(summarise(lacking.select("key", F.col(group).alias("category"), "text")).select("key", "summary"), f"fresh-{level}"))
+        line = F.concat(F.lit("#### Group Summary\n"), F.btrim("summary"))
+        return keyed.join(known.union(fresh[-1]), "key").select(group, "chunk", line.alias("line"))
+
+    out = reduce_summaries(scratch, items, group, order, text, max_items, max_chars, True, line_of)
+    made = stored.select("key", "summary").limit(0)
+    for f in fresh:
+        made = made.union(f)
+    return out, made
 
 
 def first_snippets(docs: DataFrame, file: str, text: str, pattern: str, read: int = 15, shown: int = 8) -> DataFrame:

@@ -18,8 +18,8 @@ from tessera.plans.scratch import Scratch
 
 #: A node goes if the edges through it are at most so many times its edges: tables grow little, and no hub is multiplied out.
 FILL = 2
-#: Below this share of nodes a round, components are looked for by colours.
-FEW = 0.05
+#: Where a round would take out fewer nodes than this share of the edges, components are looked for by colours.
+FEW = 0.03
 
 
 def _clean(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,16 +44,17 @@ def _picked(edges: DataFrame, turn: int) -> DataFrame:
     return may.select("id").join(met.select(F.when(F.col("a") <= F.col("b"), F.col("src")).otherwise(F.col("dst")).alias("id")), "id", "left_anti")
 
 
-def _take_out(scratch: Scratch, edges: DataFrame, picked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """edges(src, dst, w) with ``_s`` and ``_d``, whether an end goes; and the edges that are left, of parallel ones the heaviest."""
-    s, d = (picked.select(F.col("id").alias(c), F.lit(True).alias(f"_{c[0]}")) for c in ("src", "dst"))
-    marked = edges.join(s, "src", "left").join(d, "dst", "left").select("src", "dst", "w", F.col("_s").isNotNull().alias("_s"), F.col("_d").isNotNull().alias("_d"))
-    marked = scratch.save(marked, "marked")
-    into = marked.where("_d").select("src", F.col("dst").alias("id"), F.col("w").alias("before"))
-    out = marked.where("_s").select(F.col("src").alias("id"), "dst", "w")
-    through = into.join(out, "id").where("dst IS NULL OR src <> dst").select("src", "dst", (F.col("before") + F.col("w")).alias("w"))
-    rest = marked.where("NOT _s AND NOT _d").select("src", "dst", "w").union(through)
-    return marked, scratch.save(rest.groupBy("src", "dst").agg(F.max("w").alias("w")), "left")
+def _ends(edges: DataFrame, picked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges into and out of the picked nodes: (src, id, w) and (id, dst, w)."""
+    return edges.join(picked.toDF("dst"), "dst").select("src", F.col("dst").alias("id"), "w"), edges.join(picked.toDF("src"), "src").select(F.col("src").alias("id"), "dst", "w")
+
+
+def _take_out(scratch: Scratch, edges: DataFrame, picked: DataFrame) -> DataFrame:
+    """The edges (src, dst, w) that are left without the picked nodes, of parallel ones the heaviest."""
+    into, out = _ends(edges, picked)
+    through = into.withColumnRenamed("w", "before").join(out, "id").where("dst IS NULL OR src <> dst").select("src", "dst", (F.col("before") + F.col("w")).alias("w"))
+    rest = edges.join(picked.toDF("src"), "src", "left_anti").join(picked.toDF("dst"), "dst", "left_anti").select("src", "dst", "w")
+    return scratch.save(rest.union(through).groupBy("src", "dst").agg(F.max("w").alias("w")), "left")
 
 
 def scc(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -64,14 +65,15 @@ def scc(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     live, first = _clean(scratch, nodes, edges)
     e, gone, found = first.withColumn("w", F.lit(0)), [], []
+    e = scratch.save(e, "weighted")
     for turn in count():
-        here = _nodes(e).count()
+        here = e.count()
         if not here:
             break
         picked = scratch.save(_picked(e, turn), "picked")
         if picked.count() >= FEW * here:
-            marked, e = _take_out(scratch, e, picked)
-            gone.append((picked, marked))
+            gone.append((picked, e))
+            e = _take_out(scratch, e, picked)
         else:
             found.append(_coloured(scratch, e, turn))
             open_ = found[-1].select("id")
@@ -80,13 +82,14 @@ def scc(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     for f in found:
         known = known.union(f)
     known = scratch.save(known, "known")
-    for picked, marked in reversed(gone):
+    for picked, edges_then in reversed(gone):
         # A neighbour without a name has lost all its edges: it is a component of its own.
-        name = lambda end, own: marked.where(f"_{own[0]}").join(known.toDF(end, "name"), end, "left").select(F.col(own).alias("id"), F.coalesce("name", end).alias("name"))  # noqa: E731, B023
-        both = name("src", "dst").join(name("dst", "src"), ["id", "name"]).groupBy("id").agg(F.min("name").alias("in"))
+        name = lambda rows, end: rows.join(known.toDF(end, "name"), end, "left").select("id", F.coalesce("name", end).alias("name"))  # noqa: E731, B023
+        into, out = _ends(edges_then, picked)
+        both = name(into, "src").join(name(out, "dst"), ["id", "name"]).groupBy("id").agg(F.min("name").alias("in"))
         new = picked.join(both, "id", "left").select("id", F.coalesce("in", "id").alias("name"))
         before, known = known, scratch.save(known.union(new), "known")
-        scratch.drop(before, picked, marked)
+        scratch.drop(before, picked, edges_then)
     # Names are some member's id; the neighbours that were never named are their own.
     every = live.join(known, "id", "left").select("id", F.coalesce("name", "id").alias("name"))
     least = every.groupBy("name").agg(F.min("id").alias("scc"))
@@ -147,14 +150,14 @@ def longest_paths(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataF
         if inner.isEmpty():
             break
         picked = scratch.save(_picked(inner, turn), "picked")
-        marked, e = _take_out(scratch, e, picked)
-        gone.append(marked)
+        gone.append((picked, e))
+        e = _take_out(scratch, e, picked)
     known = scratch.save(e.select(F.col("src").alias("id"), F.col("w").alias("level")), "levels")
-    for marked in reversed(gone):
-        way = marked.where("_s").join(known.toDF("dst", "level"), "dst", "left")
-        new = way.groupBy(F.col("src").alias("id")).agg(F.max(F.col("w") + F.coalesce("level", F.lit(0))).alias("level"))
+    for picked, edges_then in reversed(gone):
+        way = _ends(edges_then, picked)[1].join(known.toDF("dst", "level"), "dst", "left")
+        new = way.groupBy("id").agg(F.max(F.col("w") + F.coalesce("level", F.lit(0))).alias("level"))
         before, known = known, scratch.save(known.union(new), "levels")
-        scratch.drop(before, marked)
+        scratch.drop(before, picked, edges_then)
     return known
 
 

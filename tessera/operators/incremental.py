@@ -153,9 +153,10 @@ def cached_designs(wanted: DataFrame, stored: DataFrame, least: float = SAME) ->
     return wanted.join(s, F.col("target_key") == F.col("_key"), "left").withColumn("content", hit).drop("_key", "_hash", "_text", "_content")
 
 
-def group_key(language: str, category: str, text: Column) -> Column:
-    """The cache key of a group: SHA-256 of language, category and text."""
-    return F.sha2(F.concat(F.lit(f"{language}\n{category}\n"), text), 256)
+def group_key(language: str, category: Column | str, text: Column) -> Column:
+    """The cache key of a group: SHA-256 of language, category and text; a null category is empty."""
+    category = F.lit(category) if isinstance(category, str) else F.coalesce(category.cast("string"), F.lit(""))
+    return F.sha2(F.concat(F.lit(f"{language}\n"), category, F.lit("\n"), text), 256)
 
 
 def localised(symbols: DataFrame, cache: DataFrame, language: str) -> DataFrame:

@@ -250,10 +250,24 @@ def arch_topk_few(spark, d):
 
 @query()
 def reduce_groups(spark, d):
-    docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("line"))
+    docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", F.coalesce("text", F.lit("")).alias("line"))
     return documents.reduce_summaries(Scratch(spark), docs, "source", "doc_id", "line")
 
 
+@query(r"""WITH RECURSIVE x AS (SELECT coalesce(source, '') AS g, t, length(t) AS n, CAST('0x' || substring(sha1(t), 1, 8) AS BIGINT) % 7 = 0 AS cut, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY t, doc_id) AS r FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
+ f(g, r, k, items, chars, cut, t) AS (SELECT g, r, 0, 1, n, cut, t FROM x WHERE r = 1
+ UNION ALL SELECT x.g, x.r, CASE WHEN f.cut OR f.items >= 15 OR f.chars + x.n > 3500 THEN k + 1 ELSE k END, CASE WHEN f.cut OR f.items >= 15 OR f.chars + x.n > 3500 THEN 1 ELSE f.items + 1 END,
+ CASE WHEN f.cut OR f.items >= 15 OR f.chars + x.n > 3500 THEN x.n ELSE f.chars + x.n END, x.cut, x.t FROM f JOIN x ON x.g = f.g AND x.r = f.r + 1)
+ SELECT g AS source, CAST(k AS BIGINT) AS chunk, sha256('English' || chr(10) || g || chr(10) || string_agg(t, chr(10) ORDER BY r)) AS key FROM f GROUP BY g, k""")
+def reduce_level_keys(spark, d):
+    """The keys by which the summaries of the lowest level are stored: whole texts, in the order of the texts."""
+    docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", F.coalesce("text", F.lit("")).alias("line"))
+    scratch = Scratch(spark)
+    placed = documents.numbered(scratch, docs, ["line", "doc_id"], by=["source"], name="order")
+    chunks = documents.capped_chunks(scratch, placed, "source", "order", "line", stable=True)
+    return documents.chunk_keys(placed.join(chunks, ["source", "order"]), "source", "chunk", "order", "line", "English").select("source", "chunk", "key")
+
+
 def _pattern_sql(name: str) -> str:
     weight, patterns = interfaces.CLASSES[name]
     return " + ".join(f"{weight} * len(regexp_extract_all(t, '(?i){p.replace(chr(39), chr(39) * 2)}'))" for _, p in patterns)

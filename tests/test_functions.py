@@ -105,13 +105,6 @@ def test_static_descriptions(spark):
     assert say("method")[3] == "Basic specification and role for `x`." and say("object")[0] == "Defines `x` (object)." and say("field", "x")[0].endswith("in data structure for data storage and transfer.")
 
 
-def test_whitespace_loop():
-    from tessera.describers import whitespace_loop
-
-    assert whitespace_loop(["a", " " * 30, "\n" * 20, "b"]) == 2 and whitespace_loop(["a" + " " * 49, " "]) == 1
-    assert whitespace_loop(["a", " " * 49, "b", " " * 49]) is None and whitespace_loop([]) is None
-
-
 def test_reduced_summaries(spark):
     from tessera.operators.documents import reduce_summaries
     from tessera.plans.scratch import Scratch
@@ -139,6 +132,27 @@ def test_reduced_summaries(spark):
         assert [(x[0], x[2]) for x in sorted(got[g])] == [(level, t) for t in items]
 
 
+def test_only_the_path_to_the_root_is_summarised_anew(spark):
+    from tessera.operators.documents import reduce_anew
+    from tessera.plans.scratch import Scratch
+
+    def reduced(changed, stored):
+        rows = [("big", i, f"- Function `f{i:04d}`: purpose of item {i} " * 3 + ("EDITED" if i == changed else "")) for i in range(300)] + [(None, 0, "few")]
+        items = spark.createDataFrame(rows, "g string, o int, t string")
+        say = lambda chunks: chunks.select("key", F.concat(F.lit("about "), F.substring("key", 1, 8)).alias("summary"))
+        out, fresh = reduce_anew(Scratch(spark), items, "g", "o", "t", stored, say)
+        return {(x.g, x.level, x.order): x.text for x in out.collect()}, fresh
+
+    first, made = reduced(None, spark.createDataFrame([], "key string, summary string"))
+    assert made.count() > 5 and first[None, 0, 0] == "few"
+    again, none = reduced(None, made)
+    assert again == first and none.count() == 0
+    edited, anew = reduced(150, made)
+    assert 0 < anew.count() <= 4 and edited != first
+    whole, every = reduced(150, made.limit(0))
+    assert whole == edited and every.count() > 5
+
+
 def test_fits_by_columns(spark):
     import numpy as np
 
