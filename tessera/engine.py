@@ -31,7 +31,7 @@ class Engine:
     def sync(self, options: Options = Options()) -> dict[str, int]:
         """Scans, parses, links, tells what changed, describes that anew and what calls it, and writes documents.
 
-        Symbols that did not change keep their texts. Returns counts: files, symbols, made anew.
+        Symbols that did not change keep their texts. All tables are one commit. Returns counts: files, symbols, made anew.
         """
         scratch = Scratch(self.spark)
         files = scratch.save(scan_tree(self.spark, self.tree), "files")
@@ -42,14 +42,18 @@ class Engine:
         made = scratch.save(self._described(found, dirty, edges, old, scratch), "described")
         made = scratch.save(self._refined(made, dirty, edges, old, options.force), "refined")
         counts = {"files": files.count(), "symbols": made.count(), "made": made.where("made").count()}
-        steps = options.steps()
+        steps, tables = options.steps(), {}
         if 1 in steps:
-            self.store.write_if_different("files", files.select("rel_path", "file_hash"), "rel_path")
-            self.store.write_if_different("symbols", made.drop("made", "promises"), "unique_id")
-            self.store.write_if_different("edges", edges.select(F.concat_ws(" ", "src", "dst").alias("edge"), "src", "dst"), "edge")
-            self.store.write_if_different("documents", self._documents(files, made, edges), "file")
+            tables["files"] = (files.select("rel_path", "file_hash"), "rel_path")
+            tables["symbols"] = (made.drop("made", "promises"), "unique_id")
+            tables["edges"] = (edges.select(F.concat_ws(" ", "src", "dst").alias("edge"), "src", "dst"), "edge")
+            tables["documents"] = (self._documents(files, made, edges), "file")
         if 3 in steps:
-            self.store.write_if_different("modules", self._modules(made, scratch), "module")
+            modules, summaries = self._modules(made, scratch)
+            tables["modules"] = (modules, "module")
+            if summaries is not None:
+                tables["summaries"] = (summaries, "key")
+        self.store.commit(tables)
         return counts
 
     def _hashed(self, files: DataFrame, found: DataFrame) -> DataFrame:
@@ -170,7 +174,8 @@ class Engine:
         own = listing.candidate_docs(rows).select(F.get("candidates", F.lit(0)).alias("file"), F.concat(F.regexp_replace("section", "^## ", "# "), F.lit("\n")).alias("text"))
         return whole.unionByName(own).dropDuplicates(["file"])
 
-    def _modules(self, made: DataFrame, scratch: Scratch) -> DataFrame:
+    def _modules(self, made: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+        """(module, text), and all summaries (key, summary) if a describer makes them."""
         docs = made.select(documents.module_of(F.col("rel_path")).alias("module"), "unique_id", F.concat_ws(": ", "name", "purpose").alias("line"))
         from pyspark.sql import Window
 
@@ -179,10 +184,12 @@ class Engine:
             kind = "key string, summary string"
             stored = self.store.read("summaries") if self.store.exists("summaries") else self.spark.createDataFrame([], kind)
             lines, fresh = documents.reduce_anew(scratch, items, "module", "nth", "line", stored, lambda chunks: describers.summaries(chunks, self.make))
-            self.store.write_if_different("summaries", incremental.upsert(stored, fresh, ["key"]), "key")
+            summaries = scratch.save(incremental.upsert(stored, fresh, ["key"]), "summaries")
         else:
+            summaries = None
             lines = documents.reduce_summaries(scratch, items, "module", "nth", "line")
-        return lines.groupBy("module").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("order", "text"))), lambda x: x["text"]), "\n").alias("text"))
+        text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("order", "text"))), lambda x: x["text"]), "\n")
+        return lines.groupBy("module").agg(text.alias("text")), summaries
 
     # -- asking -------------------------------------------------------------------------------------------------------
 

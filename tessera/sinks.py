@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,42 +21,81 @@ def _path(spark: SparkSession, path: str):
 
 
 class Warehouse:
-    """Tables of an index as Parquet below a folder, one folder a version; ``current`` names the version that readers see.
+    """Tables of an index as Parquet below a folder, one folder a version. A manifest names the version of every table, and
+    the last manifest is what readers see.
 
-    A version is written whole before ``current`` names it, so readers never see half of one, and a lost executor leaves
-    at most a folder that nothing names.
+    All tables of a commit are written whole before its manifest, which appears in one step and never takes another's
+    place. So readers see all of a commit or nothing, and what dies before leaves at most folders that nothing names.
     """
 
+    #: Commits whose versions stay, for readers that have begun.
+    KEPT = 2
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _manifests(self) -> list[int]:
+        path, fs = _path(self.spark, f"{self.root}/manifests")
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n[: -len(".json")]) for n in names if re.fullmatch(r"\d+\.json", n))
+
+    def _manifest(self, n: int | None = None) -> dict[str, str]:
+        """The folder of each table at the last commit, or at commit n."""
+        n = n or (self._manifests() or [0])[-1]
+        return json.loads(self.spark.read.option("wholetext", "true").text(f"{self.root}/manifests/{n:09d}.json").first()[0]) if n else {}
+
     def _version(self, table: str) -> int:
-        path, fs = _path(self.spark, f"{self.root}/{table}/current")
-        return int(self.spark.read.text(path.toString()).first()[0]) if fs.exists(path) else 0
+        folder = self._manifest().get(table)
+        return int(re.match(r"v(\d+)", folder)[1]) if folder else 0
 
     def exists(self, table: str) -> bool:
-        return self._version(table) > 0
+        return table in self._manifest()
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{table}/v{self._version(table)}")
+        return self.spark.read.parquet(f"{self.root}/{table}/{self._manifest()[table]}")
+
+    def commit(self, tables: dict[str, tuple[DataFrame, str]]) -> set[str]:
+        """The tables(rows, key) that differ from what is stored, which become visible at once. Raises FileExistsError, with
+        nothing changed, if another commit came between."""
+        last = (self._manifests() or [0])[-1]
+        before = self._manifest(last)
+        changed = {t for t, (rows, key) in tables.items() if not self._same(before.get(t), t, rows, key)}
+        if not changed:
+            return changed
+        next_ = lambda t: f"v{int(re.match(r'v(\d+)', before.get(t, 'v0'))[1]) + 1}-{uuid.uuid4().hex[:12]}"
+        after = before | {t: next_(t) for t in changed}  # two writers never share a folder
+        for t in sorted(changed):
+            tables[t][0].write.parquet(f"{self.root}/{t}/{after[t]}")
+        if not create_text(self.spark, f"{self.root}/manifests/{last + 1:09d}.json", json.dumps(after, sort_keys=True)):
+            for t in changed:
+                self._delete(f"{self.root}/{t}/{after[t]}")
+            raise FileExistsError(f"commit {last + 1} is another writer's")
+        self._clean()
+        return changed
+
+    def _same(self, folder: str | None, table: str, rows: DataFrame, key: str) -> bool:
+        if folder is None:
+            return False
+        old, columns = self.spark.read.parquet(f"{self.root}/{table}/{folder}"), sorted(rows.columns)
+        digest = lambda df: df.select(key, F.sha2(F.to_json(F.struct(*columns)), 256).alias("_sha"))
+        return sorted(old.columns) == columns and snapshot_diff(digest(old), digest(rows), key, "_sha").isEmpty()
 
-    def write(self, table: str, rows: DataFrame) -> None:
-        """The new version of a table; the one before stays for readers that have begun, older ones go."""
-        before = self._version(table)
-        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/v{before + 1}")
-        write_text(self.spark, f"{self.root}/{table}/current", str(before + 1))
-        old, fs = _path(self.spark, f"{self.root}/{table}/v{before - 1}")
-        if before > 1:
-            fs.delete(old, True)
+    def _delete(self, path: str) -> None:
+        p, fs = _path(self.spark, path)
+        fs.delete(p, True)
+
+    def _clean(self) -> None:
+        """Manifests before the last KEPT go, with the versions that only they name."""
+        all_ = self._manifests()
+        named = lambda ns: {f"{self.root}/{t}/{v}" for n in ns for t, v in self._manifest(n).items()}
+        for path in named(all_[: -self.KEPT]) - named(all_[-self.KEPT :]):
+            self._delete(path)
+        for n in all_[: -self.KEPT]:
+            self._delete(f"{self.root}/manifests/{n:09d}.json")
 
     def write_if_different(self, table: str, rows: DataFrame, key: str) -> bool:
-        """Whether the table changed: a version is written only if any row is new, gone or other than before."""
-        columns = sorted(rows.columns)
-        digest = lambda df: df.select(key, F.sha2(F.to_json(F.struct(*columns)), 256).alias("_sha"))
-        if self.exists(table) and sorted(self.read(table).columns) == columns and snapshot_diff(digest(self.read(table)), digest(rows), key, "_sha").isEmpty():
-            return False
-        self.write(table, rows)
-        return True
+        """Whether the table changed: a commit of this table alone."""
+        return bool(self.commit({table: (rows, key)}))
 
     def append(self, table: str, rows: DataFrame) -> None:
         """Adds measurements; earlier rows are never rewritten."""
@@ -63,17 +105,46 @@ class Warehouse:
         return self.spark.read.parquet(f"{self.root}/{table}/log")
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, written beside its place and moved there."""
-    target, fs = _path(spark, path)
-    part, _ = _path(spark, path + ".part")
+def _written(spark: SparkSession, path: str, text: str) -> str:
+    """A file beside ``path`` with the text, complete."""
+    beside = f"{path}.{uuid.uuid4().hex[:12]}.part"
+    part, fs = _path(spark, beside)
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.hsync() if hasattr(out, "hsync") else out.flush()
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"cannot move {path}.part to its place")
+    return beside
+
+
+def _rename(spark: SparkSession, part: str, path: str, *options: str) -> None:
+    """In one step; FileContext leaves no moment without the file."""
+    jvm = spark._jvm
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(kind, len(options))
+    for i, o in enumerate(options):
+        how[i] = getattr(kind, o)
+    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(part)
+    where = _path(spark, path)[1].makeQualified(target)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration()).rename(_path(spark, part)[1].makeQualified(source), where, how)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written beside its place and moved there over the one before."""
+    _rename(spark, _written(spark, path, text), path, "OVERWRITE")
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Whether the file could be created; one that is there stays as it is."""
+    part = _written(spark, path, text)
+    try:
+        _rename(spark, part, path)
+    except Py4JJavaError as e:
+        p, fs = _path(spark, part)
+        fs.delete(p, False)
+        if "FileAlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    return True
 
 
 def write_file_list(files: DataFrame, folder: str) -> None:

@@ -166,3 +166,33 @@ def test_sync_stops_at_unchanged_contracts(spark, tmp_path):
     assert engine.sync()["made"] == 0 and told() == []  # only the layout
     _write(tree, {"a.py": leaf.format("Counts whales at sea.", 1).replace("(x):", "(x, z):")})
     assert engine.sync()["made"] == 2 and told() == ["leaf", "middle"]  # middle promises what it did, so top stays
+
+
+def test_commits_are_whole(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from tessera import sinks
+
+    store, range_ = sinks.Warehouse(spark, str(tmp_path / "w")), spark.range
+    both = lambda n: {"a": (range_(n), "id"), "b": (range_(n + 1), "id")}
+    seen = lambda: (store.read("a").count(), store.read("b").count())
+    assert store.commit(both(1)) == {"a", "b"} and seen() == (1, 2) and store.commit(both(1)) == set()
+    broken = range_(3).select(sinks.F.raise_error(sinks.F.lit("lost")).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        store.commit({"a": (range_(5), "id"), "b": (broken, "id")})  # a is written, b is not
+    assert seen() == (1, 2)
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "create_text", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError, match="gone"):
+            store.commit(both(7))  # all is written, the manifest is not
+    assert seen() == (1, 2)
+    other, manifests = sinks.Warehouse(spark, store.root), store._manifests()
+    monkeypatch.setattr(store, "_manifests", lambda: manifests)  # what this writer saw before the other one was done
+    assert other.commit(both(8)) == {"a", "b"}
+    with pytest.raises(FileExistsError):
+        store.commit(both(9))
+    assert (other.read("a").count(), other.read("b").count()) == (8, 9)
+    old = other.read("a")
+    assert other.commit({"a": (range_(10), "id")}) == {"a"} and other.read("b").count() == 9 and old.count() == 8
+    other.commit({"a": (range_(11), "id")})
+    assert len(other._manifests()) == 2 and other._version("a") == 4 and other._version("b") == 2
