@@ -56,6 +56,13 @@ class Engine:
         self.store.commit(tables)
         return counts
 
+    def watch(self, checkpoint: str, options: Options = Options(), quiet: float = 2.0):
+        """(watch, query): syncs now and whenever the tree has changed and been quiet, until the query is stopped."""
+        from tessera.streaming.tree import TreeWatch
+
+        seen = TreeWatch(self.spark, self.tree, lambda: self.sync(options), quiet, options.interval_s)
+        return seen, seen.start(checkpoint)
+
     def _hashed(self, files: DataFrame, found: DataFrame) -> DataFrame:
         from tessera.functions.snippets import snippet
 
@@ -250,12 +257,16 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("warehouse")
     parser.add_argument("text", nargs="?")
     parser.add_argument("--force", action="store_true")
+    parser.add_argument("--watch", metavar="CHECKPOINT", help="go on syncing whenever the tree has changed")
     parser.add_argument("--fast", action="store_true")
     parser.add_argument("--step", type=int, choices=(1, 2, 3, 4))
     parser.add_argument("--from-step", type=int, choices=(1, 2, 3, 4), default=1)
     got = parser.parse_args(arguments)
     command = next(c for c, names in COMMANDS.items() if got.command in names)
     engine = Engine(get_session(), got.tree, got.warehouse)
+    if command == "sync" and got.watch:
+        engine.watch(got.watch, Options(force=got.force, fast=got.fast, only_step=got.step, from_step=got.from_step))[1].awaitTermination()
+        return 0
     if command == "sync":
         print(engine.sync(Options(force=got.force, fast=got.fast, only_step=got.step, from_step=got.from_step)))
         return 0

@@ -103,6 +103,19 @@ def debounce_sessions(spark, d):
     return sessions(table(spark, d, "events"), "user_id", "ts", "30 minutes").groupBy("user_id").agg(F.count("*").alias("sessions"))
 
 
+@query("""WITH RECURSIVE p AS (SELECT conv_id AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, turn, CASE WHEN (turn + conv_id) % 4 = 0 THEN text || repeat(' ', 10) ELSE repeat(' ' || chr(10), CAST(5 + conv_id % 9 AS INT)) END AS x FROM conversations),
+ f(k, r, turn, n, hit) AS (SELECT k, r, turn, length(x) - length(rtrim(x, ' ' || chr(10))), false FROM p WHERE r = 1
+ UNION ALL SELECT p.k, p.r, p.turn, CASE WHEN trim(x, ' ' || chr(10)) = '' THEN n + length(x) ELSE length(x) - length(rtrim(x, ' ' || chr(10))) END, trim(x, ' ' || chr(10)) = '' AND n + length(x) >= 50 FROM f JOIN p ON p.k = f.k AND p.r = f.r + 1)
+ SELECT CAST(k AS BIGINT) AS conv_id, CAST(min(turn) AS BIGINT) AS turn FROM f WHERE hit GROUP BY k""")
+def stopped_answers(spark, d):
+    """Each conversation is an answer in pieces, three of four of them blank."""
+    from tessera.streaming.pieces import stopped
+
+    k, t = F.col("conv_id"), F.col("turn")
+    piece = F.when((t + k) % 4 == 0, F.concat("text", F.repeat(F.lit(" "), F.lit(10)))).otherwise(F.repeat(F.lit(" \n"), (5 + k % 9).cast("int")))
+    return stopped(table(spark, d, "conversations").select(k, t, piece.alias("piece")), "conv_id", "turn", "piece")
+
+
 @query("""SELECT c_custkey, c_mktsegment || CASE WHEN r = 1 THEN '' ELSE '#' || r END AS uid FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS r FROM customer)""")
 def dup_ordinals(spark, d):
     from pyspark.sql import Window

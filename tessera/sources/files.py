@@ -34,17 +34,22 @@ def is_source(rel_path: Column) -> Column:
     return language(rel_path).isNotNull() & ~hidden & ~skipped
 
 
+def source_files(spark: SparkSession, root: str) -> DataFrame:
+    """The binaryFile rows of every source file below root, with ``rel_path``; contents are read only if they are used."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = F.lit(root.split("://", 1)[-1].rstrip("/") + "/")
+    # The source reports absolute URIs: what follows the root in them is the relative path.
+    rel = F.substring(F.col("path"), F.instr(F.col("path"), base) + F.length(base), F.length("path"))
+    return files.withColumn("rel_path", F.url_decode(F.replace(rel, F.lit("+"), F.lit("%2B")))).where(is_source(F.col("rel_path")))
+
+
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     """(rel_path, language, content, file_hash) of every source file below root, invalid UTF-8 replaced.
 
     The filter on the path is applied before contents are decoded; file_hash is the SHA-256 of the bytes. No order is
     implied; sort by rel_path for reports. Spark passes over files of zero bytes, which have no symbols.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.split("://", 1)[-1].rstrip("/") + "/")
-    # The source reports absolute URIs: what follows the root in them is the relative path.
-    rel = F.substring(F.col("path"), F.instr(F.col("path"), base) + F.length(base), F.length("path"))
-    files = files.withColumn("rel_path", F.url_decode(F.replace(rel, F.lit("+"), F.lit("%2B")))).where(is_source(F.col("rel_path")))
+    files = source_files(spark, root)
     return files.select("rel_path", language(F.col("rel_path")).alias("language"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("file_hash"))
 
 
