@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +61,46 @@ GUI_ROLES = (
 )
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The parts of a pattern between bars that are in no group."""
+    out, depth = [""], 0
+    for c in re.findall(r"\\.|\[[^\]]*\]|.", pattern):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def anchors(pattern: str) -> list[str] | None:
+    """Lower-case texts of which a match has one: of each alternative its longest run of letters outside of groups, else the
+    anchors of its last group. None where an alternative has none."""
+    out: list[str] = []
+    for part in _alternatives(pattern):
+        groups = re.findall(r"\(\?:([^()]*)\)", part)
+        plain = re.sub(r"\(\?:[^()]*\)\??|\[[^\]]*\]|\\.", " ", part)
+        runs = re.findall(r"[A-Za-z_]{2,}(?![?*])", plain)
+        inner = [max(runs, key=len).lower()] if runs else anchors(groups[-1]) if groups else None
+        if inner is None:
+            return None
+        out += inner
+    return out
+
+
+#: Letters that match i, k or s whatever the case, but are not these in lower case.
+_ODD, _EVEN = "\u0130\u0131\u017f\u212a", "iisk"
+
+
+def folded(text: Column) -> Column:
+    return F.lower(F.translate(F.coalesce(text, F.lit("")), _ODD, _EVEN))
+
+
 def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("(?iU)" + pattern))
+    """Matches; the pattern runs only over texts that have one of its anchors."""
+    found = F.regexp_count(F.coalesce(text, F.lit("")), F.lit("(?iU)" + pattern))
+    words = anchors(pattern)
+    return F.when(_any(folded(text), tuple(words)), found).otherwise(0) if words else found
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
@@ -68,7 +108,7 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def scores(docs: DataFrame, text: str = "text", file: str | None = None) -> DataFrame:
-    """docs plus gui_score, tui_score, cli_score and ``evidence`` (labels that occur, by class). One projection."""
+    """docs plus gui_score, tui_score and cli_score. One projection."""
     out, low = docs, F.lower(F.col(file)) if file else None
     for name, (weight, patterns) in CLASSES.items():
         points = sum((weight * _count(F.col(text), p) for _, p in patterns), F.lit(0))

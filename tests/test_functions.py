@@ -172,3 +172,17 @@ def test_fits_by_columns(spark):
     assert two.n == 2 and abs(two.coeffs[0] + 39 * two.coeffs[1] - y[38]) < 0.05
     values = df.limit(1).select(costs.polynomial(F.array(F.lit(1.0), F.lit(2.0)), F.lit(-5)).alias("v"), costs.polynomial(F.array(F.lit(-9.0)), F.lit(2)).alias("w")).first()
     assert tuple(values) == (3.0, 0.05)
+
+
+def test_anchors_miss_no_match(spark):
+    from tessera.functions import interfaces
+
+    for _, patterns in interfaces.CLASSES.values():
+        for _, p in patterns:
+            assert interfaces.anchors(p), p
+    assert interfaces.anchors(r"a+|xyz") is None and interfaces.anchors(r"(?:from|import)\s+(?:kivy|flet)\b") == ["kivy", "flet"]
+    texts = ["from PySide6 import x", "IMPORT  Flet", "tuiſ curſeſ", "Kivy import Kivy", "fınd", "class A : Activity {", "main( int argc", "if __name__ == '__main__'", "gi.repository import Gtk", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = [(k, i, F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit("(?iU)" + p)))) for k, (_, ps) in interfaces.CLASSES.items() for i, (_, p) in enumerate(ps)]
+    fast = [F.sum(interfaces._count(F.col("text"), p)) for _, ps in interfaces.CLASSES.values() for _, p in ps]
+    assert tuple(df.agg(*fast).first()) == tuple(df.agg(*[c for _, _, c in plain]).first())
