@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 TOKEN = "[a-z0-9]+"
 #: Host rules, (verdict, rule): fixed values of the contract.
 HOST_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -23,7 +22,7 @@ class Rule:
     verdict: str
     text: str  # as reported
     regex: str  # on "host" + path, both as parsed
-    tokens: tuple[str, ...]  # literal tokens every match contains
+    tokens: tuple[str, ...]  # literal tokens every match contains, `x*` being one that begins with x
     host_rule: bool
 
 
@@ -35,13 +34,15 @@ def host_rule(verdict: str, text: str) -> Rule:
 
 
 def pattern_rule(text: str) -> Rule:
-    """An ad-block style pattern; its complete literal tokens are those between separators on both sides."""
+    """An ad-block style pattern; its complete literal tokens are those between separators on both sides, and where it has
+    none, what stands between a separator and a `*` begins a token."""
     body, start = (text[2:], r"^(?:[^/]*\.)?") if text.startswith("||") else (text, "")
     parts = {"*": ".*", "^": r"(?:[^a-z0-9_.%-]|$)"}
     rx = start + "".join(parts.get(c, re.escape(c)) for c in body)
     bounded = ("|" if text.startswith("||") else "*") + body + "*"
     tokens = {m.group(1) for m in re.finditer(r"(?<=[^a-z0-9*])([a-z0-9]+)(?=[^a-z0-9*])", bounded)}
-    return Rule("block", text, rx, tuple(sorted(tokens)), False)
+    begun = {m.group(1) + "*" for m in re.finditer(r"(?<=[^a-z0-9*])([a-z0-9]+)(?=\*)", bounded)}
+    return Rule("block", text, rx, tuple(sorted(tokens or begun)), False)
 
 
 RULES = (*[host_rule(*r) for r in HOST_RULES], *[pattern_rule(r) for r in PATTERN_RULES])
@@ -61,9 +62,10 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page
     """page_id, host, path, rule, verdict of every row.
 
     The longest host rule that fits decides; else any pattern rule blocks, else allow. Null URLs and those without `://`
-    have an empty host and path and are allowed. A rule is indexed under that of its tokens which the fewest URLs
-    have (counted over all URLs); rules without a token are tried on every URL. URLs are judged once each however
-    often they repeat; rows are joined back by the URL's parts.
+    have an empty host and path and are allowed. A rule is indexed under that of its tokens, or beginnings of tokens, which the
+    fewest URLs have (counted over all URLs); a rule without any literal is tried on every URL. URLs are judged once each
+    however often they repeat; rows are joined back by the URL's parts, so repeated ids and rows all stay. An empty table gives no
+    rows; other columns are passed over.
     """
     spark = pages.sparkSession
     host, path = parse(F.col(url_col).cast("string"))
@@ -71,6 +73,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page
     whole = F.concat("host", "path")
     words = F.array_distinct(F.regexp_extract_all(F.lower(whole), F.lit(TOKEN), F.lit(0)))
     wanted = sorted({t for r in rules for t in r.tokens})
+    sizes = sorted({len(t) - 1 for t in wanted if t.endswith("*")})
+    begun = [F.transform(F.filter(words, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.left(w, F.lit(n)), F.lit("*"))) for n in sizes]
+    words = F.array_distinct(F.concat(words, *begun))
     # URLs without host and path fit no rule; they are many rows of one key, so they stay out of the join.
     bare = (F.col("host") == "") & (F.col("path") == "")
     urls = rows.where(~bare).select("host", "path").distinct().select("host", "path", whole.alias("whole"), words.alias("words"))

@@ -268,3 +268,19 @@ def test_probes_come_in_order_of_likelihood():
     turned = nearest._turned(x, 5)
     assert np.allclose((turned**2).sum(1), 1) and np.allclose(turned @ turned.T, x @ x.T)
     assert nearest.widths_for(51_282, 64) == (64,) and nearest.widths_for(10**9, 64) == (64, 64, 64)
+
+
+def test_pattern_rules_equal_every_regex_on_every_url(spark):
+    from tessera.llm import url_filter
+
+    assert all(r.tokens for r in url_filter.RULES)
+    r = random.Random(7)
+    part = lambda: r.choice(["casino", "casinos", "my-casino", "casino-x", "xcasino", "pills", "a-pills", "ads-track", "adult-x", "porn", "b", "casino_1", "cas"])
+    urls = [f"http://{r.choice(['', 'www.', 'a.'])}{part()}.{r.choice(['org', 'casino.org', 'x-casino.io'])}/{part()}{r.choice(['', '/', '/' + part()])}" for _ in range(400)]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    for x in got:
+        hits = [rule for rule in url_filter.RULES if re.search(rule.regex, x.host + x.path)]
+        own = [rule for rule in hits if rule.host_rule]
+        best = max(own or hits, key=lambda rule: len(rule.text), default=None)
+        assert x.verdict == (best.verdict if best else "allow") and x.rule == (best.text if own else None)
+    assert {x.verdict for x in got} == {"allow", "block"}
