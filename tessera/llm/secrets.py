@@ -64,11 +64,12 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("values"),
         F.split(text, CANDIDATE, -1).alias("between"),
     )
-    each = rows.select("doc_id", "row", "between", F.posexplode("values").alias("nth", "value"))
-    each = each.select(
-        "doc_id", "row", "nth", F.expr(f"right(get(between, nth), {CONTEXT})").alias("before"), "value",
-        F.substring(F.get("between", F.col("nth") + 1), 1, CONTEXT).alias("after"), F.length(F.get("between", F.col("nth"))).alias("gap"),
+    # What stands around a candidate is cut out within the row, so that no text is carried along with every candidate.
+    around = lambda v, i: F.struct(
+        F.right(F.get("between", i), F.lit(CONTEXT)).alias("before"), v.alias("value"),
+        F.substring(F.get("between", i + 1), 1, CONTEXT).alias("after"), F.length(F.get("between", i)).alias("gap"),
     )
+    each = rows.select("doc_id", "row", F.posexplode(F.transform("values", around)).alias("nth", "c")).select("doc_id", "row", "nth", "c.*")
     # Where each candidate starts: the lengths before it in its row, which is told by its number, not by id and text.
     so_far = Window.partitionBy("row").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     start = F.sum(F.col("gap") + F.length("value")).over(so_far) - F.length("value")
@@ -181,7 +182,8 @@ def forest_score(forest: list, names: list[str]) -> Column:
 def scan(docs: DataFrame, forest: list | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, nth, start, length, value, score, is_secret: one row per candidate of every whole text.
 
-    Null and empty texts have none. Repeated rows give their candidates each; a null id stays null.
+    Null and empty texts, and so an empty table, have none. Repeated rows give their candidates each; a null id stays null. Other
+    columns, whatever their names, are passed over.
     """
     forest = train(docs.sparkSession) if forest is None else forest
     found = candidates(docs, id_col, text_col)
