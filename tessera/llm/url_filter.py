@@ -58,6 +58,11 @@ def parse(url):
     return host, path
 
 
+def _begun(words, size: int):
+    """``x*`` for the first letters of every word that has so many."""
+    return F.transform(F.filter(words, lambda w: F.length(w) >= size), lambda w: F.concat(F.left(w, F.lit(size)), F.lit("*")))
+
+
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict of every row.
 
@@ -74,8 +79,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page
     words = F.array_distinct(F.regexp_extract_all(F.lower(whole), F.lit(TOKEN), F.lit(0)))
     wanted = sorted({t for r in rules for t in r.tokens})
     sizes = sorted({len(t) - 1 for t in wanted if t.endswith("*")})
-    begun = [F.transform(F.filter(words, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.left(w, F.lit(n)), F.lit("*"))) for n in sizes]
-    words = F.array_distinct(F.concat(words, *begun))
+    words = F.array_distinct(F.concat(words, *[_begun(words, n) for n in sizes]))
     # URLs without host and path fit no rule; they are many rows of one key, so they stay out of the join.
     bare = (F.col("host") == "") & (F.col("path") == "")
     urls = rows.where(~bare).select("host", "path").distinct().select("host", "path", whole.alias("whole"), words.alias("words"))
