@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +54,9 @@ class Engine:
             tables["modules"] = (modules, "module")
             if summaries is not None:
                 tables["summaries"] = (summaries, "key")
-        self.store.commit(tables)
+        now = F.lit(datetime.now(timezone.utc))
+        old = {t: self.store.read(t) if self.store.exists(t) else None for t in tables}
+        self.store.commit({t: (incremental.stamped(old[t], rows, key, now), key) for t, (rows, key) in tables.items()})
         return counts
 
     def watch(self, checkpoint: str, options: Options = Options(), quiet: float = 2.0):
@@ -151,7 +154,7 @@ class Engine:
             return rows
         is_fn = T.kind_prefix(F.col("kind")) == "fn"
         v = rows.where(F.lower("kind").isin(*listing.REFINED_KINDS)).select(F.col("unique_id").alias("id"), "rel_path", "fqdn", "name", "context")
-        types = rows.where(T.kind_prefix(F.col("kind")) == "type").select(F.col("unique_id").alias("id"), "rel_path", "name", "kind", "line_start", "purpose", "overview")
+        types = rows.where((T.kind_prefix(F.col("kind")) == "type") & ~F.lower("kind").isin(*listing.REFINED_KINDS)).select(F.col("unique_id").alias("id"), "rel_path", "name", "kind", "line_start", "purpose", "overview")
         functions = rows.where(is_fn).select(F.col("unique_id").alias("id"), "name", "rel_path", "callees", "signature", "purpose")
         holders = links.containers(v, types)
         used = links.related_functions(v, functions)
@@ -233,8 +236,10 @@ class Engine:
         return search.impact_of(self._symbols(), self.store.read("edges"), text)
 
     def design(self, section: str) -> DataFrame:
+        """The document of a section; if there is none, the modules that there are."""
         m = self.store.read("modules").select(F.concat(F.lit("design/modules/"), "module", F.lit(".md")).alias("file"), "text")
-        return documents.find_section(m, section)
+        found = documents.find_section(m, section)
+        return documents.modules(m) if found.isEmpty() else found
 
     def program_type(self) -> DataFrame:
         return interfaces.detect(self._symbols().select(F.col("code").alias("text"), F.col("rel_path").alias("file")))

@@ -31,6 +31,17 @@ def upsert_hashes(old: DataFrame, new: DataFrame, key: str = "rel_path", value:
     return new.join(o, F.col(key) == F.col("_key"), "left").withColumn("changed", ~F.col(value).eqNullSafe(F.col("_value"))).drop("_key", "_value")
 
 
+def stamped(old: DataFrame | None, new: DataFrame, key: str, now: Column) -> DataFrame:
+    """new plus ``updated_at``: as stored where a row is what it was, else ``now``. Columns are compared by a hash; keys of old
+    must not repeat. Without old, or where it has no such column, all rows are new."""
+    if old is None or "updated_at" not in old.columns or sorted(old.columns) != sorted([*new.columns, "updated_at"]):
+        return new.withColumn("updated_at", now)
+    digest = F.sha2(F.to_json(F.struct(*sorted(new.columns))), 256)
+    o = old.select(F.col(key).alias("_key"), digest.alias("_sha"), F.col("updated_at").alias("_at"))
+    rows = new.withColumn("_now", digest).join(o, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return rows.select(*new.columns, F.when(F.col("_now") == F.col("_sha"), F.col("_at")).otherwise(now).alias("updated_at"))
+
+
 def hash_changes(old_full: Column, old_logic: Column, full: Column, logic: Column) -> tuple[Column, Column]:
     """(full changed, logic changed): a new symbol changed both; without a new logic hash its change is the full one's,
     without an old one it changed."""

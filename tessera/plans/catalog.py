@@ -22,4 +22,4 @@ def query(oracle: str | None = None):
     return add
 
 
-from tessera.plans import change_queries, cost_queries, index_queries, listing_queries, source_queries  # noqa: E402, F401  (they register themselves)
+from tessera.plans import change_queries, cost_queries, document_queries, index_queries, listing_queries, source_queries  # noqa: E402, F401  (they register themselves)

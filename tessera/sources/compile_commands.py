@@ -37,8 +37,8 @@ def kept_flags(arguments: list[str], directory: str) -> list[str]:
 
 
 def first_database(spark: SparkSession, root: str, explicit: str | None = None) -> str | None:
-    """The first of the explicit path and the usual places below the root that exists."""
-    for path in [explicit, *[f"{root.rstrip('/')}/{p}" for p in PLACES]]:
+    """The first of the explicit path and the usual places below the root, then below the working folder, that exists."""
+    for path in [explicit, *[f"{root.rstrip('/')}/{p}" for p in PLACES], *PLACES]:
         if path:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
