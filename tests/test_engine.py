@@ -158,14 +158,15 @@ def test_sync_stops_at_unchanged_contracts(spark, tmp_path):
             p.unlink()
         return out
 
-    _write(tree, {"a.py": leaf.format("Adds one.", 1), "b.py": rest})
-    assert engine.sync()["made"] == 4 and told() == ["alone", "leaf", "middle", "top"]
+    _write(tree, {"a.py": leaf.format("Adds one.", 1), "b.py": rest, "Box.java": "class Box {\n    int size;\n    int grab() {\n        return size;\n    }\n}\n"})
+    assert engine.sync()["made"] == 7 and told() == ["Box", "alone", "grab", "leaf", "middle", "size", "top"]
+    assert {r.name: r.context for r in engine.store.read("symbols").collect()} == {"Box": None, "grab": None, "size": "SIZE", "leaf": None, "middle": None, "top": None, "alone": None}
     texts = {r.name: r.overview for r in engine.store.read("symbols").collect()}
     assert "Adds one." in texts["middle"] and "`middle`" in texts["top"] and texts["leaf"] == ""
     _write(tree, {"a.py": leaf.format("Adds one.", 1).replace("y = x", "y  =  x")})
     assert engine.sync()["made"] == 0 and told() == []  # only the layout
     _write(tree, {"a.py": leaf.format("Counts whales at sea.", 1).replace("(x):", "(x, z):")})
-    assert engine.sync()["made"] == 2 and told() == ["leaf", "middle"]  # middle promises what it did, so top stays
+    assert engine.sync()["made"] == 2 and told() == ["leaf", "middle"]  # middle promises what it did, so top stays, and size has its context
 
 
 def test_commits_are_whole(spark, tmp_path, monkeypatch):
