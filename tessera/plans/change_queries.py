@@ -149,9 +149,9 @@ def adaptive_timeout(spark, d):
 
 
 def _chars_sql() -> str:
-    cases = " ".join(f"WHEN {i} THEN {base} + round_even({a} * l_quantity + {b} * (1 + l_linenumber), 0)" for i, (_, base, a, b) in enumerate(costs.CHARS))
-    base, a, b = costs.OTHER_CHARS
-    return f"greatest(150, CASE l_orderkey % 8 {cases} ELSE {base} + round_even({a} * l_quantity + {b} * (1 + l_linenumber), 0) END)"
+    own = ((400, 5, 15), (550, 7, 20), (320, 3, 10), (850, 8, 25), (1200, 12, 35), (1600, 15, 40), (1100, 10, 30), (450, 6, 18))
+    cases = " ".join(f"WHEN {i} THEN {base} + round_even({a} * l_quantity + {b} * (1 + l_linenumber), 0)" for i, (base, a, b) in enumerate(own))
+    return f"greatest(150, CASE l_orderkey % 8 {cases} END)"
 
 
 @query(f"""SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST({_chars_sql()} AS BIGINT) AS chars, round(l_quantity * sqrt(1 + l_linenumber), 4) AS work,

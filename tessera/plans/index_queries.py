@@ -33,10 +33,12 @@ def _cache(spark, d):
 
 
 def _score_sql(q: str) -> str:
-    low = {c: f"coalesce(lower({c}), '')" for c, _, _ in search.WEIGHTS}
-    parts = [f"CASE WHEN contains({low['name']}, '{q}') OR contains({low['fqdn']}, '{q}') THEN 50 ELSE 0 END"]
-    parts += [f"CASE WHEN contains({low[c]}, '{q}') THEN {w} ELSE 0 END" for c, w, _ in search.WEIGHTS[2:] if w]
-    parts += [f"CASE WHEN contains({low[c]}, '{t}') THEN {w} ELSE 0 END" for t in search.query_tokens(q) for c, _, w in search.WEIGHTS]
+    """Points for the whole text and for its words of two letters or more, in numbers of its own."""
+    low = lambda c: f"coalesce(lower({c}), '')"
+    parts = [f"CASE WHEN contains({low('name')}, '{q}') OR contains({low('fqdn')}, '{q}') THEN 50 ELSE 0 END"]
+    parts += [f"CASE WHEN contains({low(c)}, '{q}') THEN {w} ELSE 0 END" for c, w in (("purpose", 35), ("overview", 20), ("signature", 25))]
+    words = (("name", 15), ("fqdn", 10), ("purpose", 10), ("overview", 5), ("rel_path", 8), ("signature", 6))
+    parts += [f"CASE WHEN contains({low(c)}, '{t}') THEN {w} ELSE 0 END" for t in sorted({t for t in q.lower().split() if len(t) > 1}) for c, w in words]
     return " + ".join(parts)
 
 

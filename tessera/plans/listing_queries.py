@@ -298,11 +298,11 @@ def pattern_scores(spark, d):
     return s.select("page_id", "gui_score", "tui_score", "cli_score", interfaces.decide(F.col("gui_score"), F.col("tui_score"), F.col("cli_score")).alias("decision"))
 
 
-@query(f"""WITH s AS (SELECT CAST(sum({_pattern_sql('gui')}) AS BIGINT) AS gui_score, CAST(sum({_pattern_sql('tui')}) AS BIGINT) AS tui_score, CAST(sum({_pattern_sql('cli')}) AS BIGINT) AS cli_score, sum(len(regexp_extract_all(t, '(?i)tkinter'))) AS tk FROM (SELECT * FROM ({_code_sql()}) WHERE page_id % 7 IN (0, 1)))
- SELECT {_DECIDE} AS ui_type, CASE WHEN tk > 0 THEN 'Tkinter' END AS framework, gui_score, tui_score, cli_score, true AS has_ui FROM s""")
+@query(f"""WITH s AS (SELECT CAST(sum({_pattern_sql('gui')}) AS BIGINT) AS gui_score, CAST(sum({_pattern_sql('tui')}) AS BIGINT) AS tui_score, CAST(sum({_pattern_sql('cli')}) AS BIGINT) AS cli_score, sum(len(regexp_extract_all(t, '(?i)argparse|argumentparser|add_argument|parse_args'))) AS parsers FROM ({_code_sql()}))
+ SELECT {_DECIDE} AS ui_type, CASE {_DECIDE} WHEN 'CLI' THEN CASE WHEN parsers > 0 THEN 'argparse' END WHEN 'GUI' THEN 'Android UI' END AS framework, gui_score, tui_score, cli_score, true AS has_ui FROM s""")
 def ui_decision(spark, d):
-    """Of the pages with a GUI and a TUI text alone, no paths that count."""
-    return interfaces.detect(_code(spark, d).where("page_id % 7 IN (0, 1)").withColumn("file", F.lit("x")))
+    """Of all pages, no paths that count."""
+    return interfaces.detect(_code(spark, d).withColumn("file", F.lit("x")))
 
 
 @query(f"""WITH u AS (SELECT *, list_extract(['GUI', 'CLI', 'TUI', 'Library'], CAST(unique_id AS INT) % 4 + 1) AS u FROM ({_INDEX}))
