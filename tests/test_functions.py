@@ -49,13 +49,12 @@ def test_names(spark):
 
 
 def test_block_ends(spark):
-    from tessera.sources.blocks import block_end, block_ends, clean_comment
+    from tessera.sources.blocks import block_ends, clean_comment
 
     java = 'void f() {\n  s = "}"; // }\n  if (x) { y(); }\n}\nint g;\nclass A\n{\n /* } */ }\n'
-    assert [block_end(java.splitlines(), i) for i in (1, 5, 6, 0, 99)] == [4, 5, 8, 1, 99]
-    assert block_end(["a"] * 20, 1) == 1 and block_end(["f {", "x"], 1) == 2
-    df = spark.createDataFrame([(java, 1), (None, 1), ("", 1)], "t string, s int")
-    assert [r[0] for r in df.select(block_ends(F.col("t"), F.col("s"))).collect()] == [4, None, 1]
+    rows = [(java, 1, 4), (java, 5, 5), (java, 6, 8), (java, 0, 1), (java, 99, 99), ("a\n" * 20, 1, 1), ("f {\nx", 1, 2), (None, 1, None), ("", 1, 1)]
+    df = spark.createDataFrame(rows, "t string, s int, last int")
+    assert [(r.e, r.last) for r in df.select(block_ends(F.col("t"), F.col("s")).alias("e"), "last").collect()] == [(x[2], x[2]) for x in rows]
     got = _one(spark, clean_comment(F.lit("/** One.\n   * two\n\n */")), clean_comment(F.lit("// a\n//b ")), clean_comment(F.lit(" x ")), clean_comment(F.lit(None).cast("string")))
     assert got == ("One.\ntwo", "a\nb", "x", "")
 
