@@ -75,14 +75,18 @@ def totals(symbols: DataFrame, workers: int = 1, *by: str) -> DataFrame:
     )
 
 
-def server_rates(requests: DataFrame, key: str) -> DataFrame:
+def server_rates(requests: DataFrame, key: str, digits: int | None = 2) -> DataFrame:
     """(key, rate): characters a second, in and out, of the warm requests(in_chars, out_chars, seconds, is_cold), to two
-    digits; null without any time. Sizes are at least 1 and 0, times at least 0.01 and to two digits."""
+    digits or as it is; null without any time. Sizes are at least 1 and 0, times at least 0.01 and to two digits, and added up
+    as decimals, so that whole rates do not depend on the order of rows; as doubles only where a time is no such number."""
     warm = requests.where(~F.col("is_cold"))
     chars = F.greatest(F.col("in_chars"), F.lit(1)) + F.greatest(F.col("out_chars"), F.lit(0))
     seconds = F.bround(F.greatest(F.col("seconds").cast("double"), F.lit(0.01)), 2)
-    total = warm.groupBy(key).agg(F.sum(chars).alias("_chars"), F.sum(seconds).alias("_seconds"))
-    return total.select(key, F.bround(F.try_divide(F.col("_chars").cast("double"), F.col("_seconds")), 2).alias("rate"))
+    exact = seconds.try_cast("decimal(18,2)")
+    time = F.when(F.count(exact) == F.count(seconds), F.sum(exact).cast("double")).otherwise(F.sum(seconds))
+    total = warm.groupBy(key).agg(F.sum(chars).alias("_chars"), time.alias("_seconds"))
+    rate = F.try_divide(F.col("_chars").cast("double"), F.col("_seconds"))
+    return total.select(key, (rate if digits is None else F.bround(rate, digits)).alias("rate"))
 
 
 def adaptive_timeout(in_chars: Column, first: Column, cold: Column, rate: Column, default: int = TIMEOUT) -> Column:

@@ -138,7 +138,7 @@ def server_rate(spark, d):
     """Even events are the warm requests."""
     i = F.col("event_id")
     r = table(spark, d, "events").select("user_id", (i % 1000).alias("in_chars"), (i % 77).alias("out_chars"), F.col("value").alias("seconds"), (i % 2 == 1).alias("is_cold"))
-    return costs.server_rates(r, "user_id").select("user_id", F.floor("rate").cast("long").alias("rate"))
+    return costs.server_rates(r, "user_id", digits=None).select("user_id", F.floor("rate").cast("long").alias("rate"))
 
 
 @query("""SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(round_even(greatest(120.0, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 THEN o_orderkey % 100 + 60.5 ELSE 0 END, CASE WHEN o_orderkey % 5 <> 0 THEN (o_custkey + 500) / CAST(o_orderkey % 5 AS DOUBLE) * 2.5 ELSE 0 END), 0) AS BIGINT) AS timeout FROM orders""")
