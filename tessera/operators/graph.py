@@ -22,11 +22,16 @@ FILL = 2
 FEW = 0.03
 
 
+def shuffled(table: DataFrame) -> DataFrame:
+    """The right side of a join that takes no detour: a broadcast would pass through the driver, in every step of every round."""
+    return table.hint("merge")
+
+
 def _clean(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct nodes, and distinct edges between them without loops."""
     live = scratch.save(nodes.select("id").where("id IS NOT NULL").distinct(), "nodes")
     inside = edges.where("src <> dst").select("src", "dst").distinct()
-    return live, scratch.save(inside.join(live.toDF("src"), "src", "left_semi").join(live.toDF("dst"), "dst", "left_semi"), "edges")
+    return live, scratch.save(inside.join(shuffled(live.toDF("src")), "src", "left_semi").join(shuffled(live.toDF("dst")), "dst", "left_semi"), "edges")
 
 
 def _nodes(edges: DataFrame) -> DataFrame:
@@ -40,20 +45,20 @@ def _picked(edges: DataFrame, turn: int) -> DataFrame:
     first = F.when(F.col("o") == 0, 2).when(F.col("i") == 0, 1).otherwise(0).cast("long")
     rank = F.shiftleft(first, 61).bitwiseOR(F.shiftrightunsigned(F.xxhash64("id", F.lit(turn)), 3))
     may = sums.where(F.col("i") * F.col("o") <= FILL * (F.col("i") + F.col("o"))).select("id", rank.alias("rank"))
-    met = edges.join(may.toDF("src", "a"), "src").join(may.toDF("dst", "b"), "dst")
-    return may.select("id").join(met.select(F.when(F.col("a") <= F.col("b"), F.col("src")).otherwise(F.col("dst")).alias("id")), "id", "left_anti")
+    met = edges.join(shuffled(may.toDF("src", "a")), "src").join(shuffled(may.toDF("dst", "b")), "dst")
+    return may.select("id").join(shuffled(met.select(F.when(F.col("a") <= F.col("b"), F.col("src")).otherwise(F.col("dst")).alias("id"))), "id", "left_anti")
 
 
 def _ends(edges: DataFrame, picked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The edges into and out of the picked nodes: (src, id, w) and (id, dst, w)."""
-    return edges.join(picked.toDF("dst"), "dst").select("src", F.col("dst").alias("id"), "w"), edges.join(picked.toDF("src"), "src").select(F.col("src").alias("id"), "dst", "w")
+    return edges.join(shuffled(picked.toDF("dst")), "dst").select("src", F.col("dst").alias("id"), "w"), edges.join(shuffled(picked.toDF("src")), "src").select(F.col("src").alias("id"), "dst", "w")
 
 
 def _take_out(scratch: Scratch, edges: DataFrame, picked: DataFrame) -> DataFrame:
     """The edges (src, dst, w) that are left without the picked nodes, of parallel ones the heaviest."""
     into, out = _ends(edges, picked)
-    through = into.withColumnRenamed("w", "before").join(out, "id").where("dst IS NULL OR src <> dst").select("src", "dst", (F.col("before") + F.col("w")).alias("w"))
-    rest = edges.join(picked.toDF("src"), "src", "left_anti").join(picked.toDF("dst"), "dst", "left_anti").select("src", "dst", "w")
+    through = into.withColumnRenamed("w", "before").join(shuffled(out), "id").where("dst IS NULL OR src <> dst").select("src", "dst", (F.col("before") + F.col("w")).alias("w"))
+    rest = edges.join(shuffled(picked.toDF("src")), "src", "left_anti").join(shuffled(picked.toDF("dst")), "dst", "left_anti").select("src", "dst", "w")
     return scratch.save(rest.union(through).groupBy("src", "dst").agg(F.max("w").alias("w")), "left")
 
 
@@ -77,23 +82,23 @@ def scc(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
         else:
             found.append(_coloured(scratch, e, turn))
             open_ = found[-1].select("id")
-            e = scratch.save(e.join(open_.toDF("src"), "src", "left_anti").join(open_.toDF("dst"), "dst", "left_anti"), "open")
+            e = scratch.save(e.join(shuffled(open_.toDF("src")), "src", "left_anti").join(shuffled(open_.toDF("dst")), "dst", "left_anti"), "open")
     known = live.select("id", F.col("id").alias("name")).limit(0)
     for f in found:
         known = known.union(f)
     known = scratch.save(known, "known")
     for picked, edges_then in reversed(gone):
         # A neighbour without a name has lost all its edges: it is a component of its own.
-        name = lambda rows, end: rows.join(known.toDF(end, "name"), end, "left").select("id", F.coalesce("name", end).alias("name"))  # noqa: E731, B023
+        name = lambda rows, end: rows.join(shuffled(known.toDF(end, "name")), end, "left").select("id", F.coalesce("name", end).alias("name"))  # noqa: E731, B023
         into, out = _ends(edges_then, picked)
-        both = name(into, "src").join(name(out, "dst"), ["id", "name"]).groupBy("id").agg(F.min("name").alias("in"))
-        new = picked.join(both, "id", "left").select("id", F.coalesce("in", "id").alias("name"))
+        both = name(into, "src").join(shuffled(name(out, "dst")), ["id", "name"]).groupBy("id").agg(F.min("name").alias("in"))
+        new = picked.join(shuffled(both), "id", "left").select("id", F.coalesce("in", "id").alias("name"))
         before, known = known, scratch.save(known.union(new), "known")
         scratch.drop(before, picked, edges_then)
     # Names are some member's id; the neighbours that were never named are their own.
-    every = live.join(known, "id", "left").select("id", F.coalesce("name", "id").alias("name"))
+    every = live.join(shuffled(known), "id", "left").select("id", F.coalesce("name", "id").alias("name"))
     least = every.groupBy("name").agg(F.min("id").alias("scc"))
-    return scratch.save(every.join(least, "name").select("id", "scc"), "scc")
+    return scratch.save(every.join(shuffled(least), "name").select("id", "scc"), "scc")
 
 
 def _coloured(scratch: Scratch, e: DataFrame, turn: int) -> DataFrame:
@@ -103,26 +108,26 @@ def _coloured(scratch: Scratch, e: DataFrame, turn: int) -> DataFrame:
     last = scratch.save(_nodes(e).select("id", own.alias("c")), "colour")
     while True:
         colour = last.select("id", "c")
-        come = e.join(colour.toDF("src", "c2"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c2").alias("c2"))
-        new = colour.join(come, "id", "left").select("id", F.least("c", "c2").alias("c"), (F.col("c2") < F.col("c")).alias("moved"))
+        come = e.join(shuffled(colour.toDF("src", "c2")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c2").alias("c2"))
+        new = colour.join(shuffled(come), "id", "left").select("id", F.least("c", "c2").alias("c"), (F.col("c2") < F.col("c")).alias("moved"))
         before, last = last, scratch.save(new, "colour")
         scratch.drop(before)
         if last.where("moved").isEmpty():
             break
     colour = last.select("id", "c")
-    back = e.join(colour.toDF("src", "a"), "src").join(colour.toDF("dst", "b"), "dst").where("a = b").select(F.col("dst").alias("id"), F.col("src").alias("to"))
+    back = e.join(shuffled(colour.toDF("src", "a")), "src").join(shuffled(colour.toDF("dst", "b")), "dst").where("a = b").select(F.col("dst").alias("id"), F.col("src").alias("to"))
     back = scratch.save(back, "back")
     seen = front = scratch.save(colour.where("id = c.id").select("id", F.col("id").alias("name")), "reach")
     while not front.isEmpty():
-        step = back.join(front, "id").select(F.col("to").alias("id"), "name").distinct()
-        front = scratch.save(step.join(seen.select("id"), "id", "left_anti"), "front")
+        step = back.join(shuffled(front), "id").select(F.col("to").alias("id"), "name").distinct()
+        front = scratch.save(step.join(shuffled(seen.select("id")), "id", "left_anti"), "front")
         seen = scratch.save(seen.union(front), "reach")
     return seen
 
 
 def condensation(edges: DataFrame, comp: DataFrame) -> DataFrame:
     """Distinct edges (src, dst) between components."""
-    e = edges.join(comp.toDF("src", "cs"), "src").join(comp.toDF("dst", "cd"), "dst")
+    e = edges.join(shuffled(comp.toDF("src", "cs")), "src").join(shuffled(comp.toDF("dst", "cd")), "dst")
     return e.where("cs <> cd").select(F.col("cs").alias("src"), F.col("cd").alias("dst")).distinct()
 
 
@@ -131,7 +136,7 @@ def levels(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     live, e = _clean(scratch, nodes, edges)
     comp = scc(scratch, live, e)
     rank = longest_paths(scratch, comp.select(F.col("scc").alias("id")).distinct(), condensation(e, comp))
-    return comp.join(rank.toDF("scc", "level"), "scc").select("id", "scc", "level")
+    return comp.join(shuffled(rank.toDF("scc", "level")), "scc").select("id", "scc", "level")
 
 
 def longest_paths(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -154,7 +159,7 @@ def longest_paths(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataF
         e = _take_out(scratch, e, picked)
     known = scratch.save(e.select(F.col("src").alias("id"), F.col("w").alias("level")), "levels")
     for picked, edges_then in reversed(gone):
-        way = _ends(edges_then, picked)[1].join(known.toDF("dst", "level"), "dst", "left")
+        way = _ends(edges_then, picked)[1].join(shuffled(known.toDF("dst", "level")), "dst", "left")
         new = way.groupBy("id").agg(F.max(F.col("w") + F.coalesce("level", F.lit(0))).alias("level"))
         before, known = known, scratch.save(known.union(new), "levels")
         scratch.drop(before, picked, edges_then)
@@ -165,10 +170,10 @@ def propagate(scratch: Scratch, seeds: DataFrame, edges: DataFrame, stop: DataFr
     """(id, hops): what becomes dirty from seeds(id) along caller edges(src calls dst); rows of stop(id) do not pass it on."""
     seen = scratch.save(seeds.select("id", F.lit(0).cast("long").alias("hops")).distinct(), "dirty")
     front = seen
-    e = edges.select(F.col("dst").alias("id"), F.col("src").alias("caller")).distinct()
+    e = scratch.save(edges.select(F.col("dst").alias("id"), F.col("src").alias("caller")).distinct(), "callers")
     for hop in count(1):
-        pass_on = front if stop is None else front.join(stop.select("id"), "id", "left_anti")
-        step = pass_on.join(e, "id").select(F.col("caller").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        pass_on = front if stop is None else front.join(shuffled(stop.select("id")), "id", "left_anti")
+        step = pass_on.join(shuffled(e), "id").select(F.col("caller").alias("id")).distinct().join(shuffled(seen.select("id")), "id", "left_anti")
         front = scratch.save(step.select("id", F.lit(hop).cast("long").alias("hops")), "front")
         if front.isEmpty():
             return seen

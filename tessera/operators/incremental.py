@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import SAME, SAME_CONTRACT, alike, normal_spec, says_the_same
-from tessera.operators.graph import propagate
+from tessera.operators.graph import propagate, shuffled
 from tessera.operators.substrings import contained
 from tessera.plans.scratch import Scratch
 
@@ -117,15 +117,16 @@ def make_anew(scratch: Scratch, dirty: DataFrame, levels: DataFrame, edges: Data
     on to edges(src calls dst). There are as many rounds as levels with anything to make: a change that stops at
     an unchanged contract costs its own round alone. What is no node of levels is on level 0.
     """
-    level = levels.select(F.col("id").alias("_id"), "level")
-    at = lambda ids: ids.join(level, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("level", F.lit(0)).cast("long").alias("level"))
+    level = scratch.save(levels.select(F.col("id").alias("_id"), "level"), "level")
+    edges = scratch.save(edges.select("src", "dst").distinct(), "edges")
+    at = lambda ids: ids.join(shuffled(level), F.col("id") == F.col("_id"), "left").select("id", F.coalesce("level", F.lit(0)).cast("long").alias("level"))
     pending, made = scratch.save(at(dirty.select("id").distinct()), "pending"), None
     while (low := pending.agg(F.min("level")).first()[0]) is not None:
         new = scratch.save(make(pending.where(F.col("level") == low).select("id"), made), "round")
         made = new if made is None else scratch.save(made.unionByName(new), "made")
-        callers = edges.join(new.where("changed").select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+        callers = edges.join(shuffled(new.where("changed").select(F.col("id").alias("dst"))), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
         rest = pending.where(F.col("level") != low).unionByName(at(callers)).distinct()
-        pending = scratch.save(rest.join(made.select("id"), "id", "left_anti"), "pending")
+        pending = scratch.save(rest.join(shuffled(made.select("id")), "id", "left_anti"), "pending")
     return make(pending.select("id"), None) if made is None else made
 
 

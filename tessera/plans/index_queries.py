@@ -125,7 +125,7 @@ def _graph(spark, d):
     pair = p.where("p_size % 10 = 0 AND id % 2 = 0").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     e = up.union(pair).union(pair.select("dst", "src")).distinct()
     n = p.select("id")
-    e = e.join(n.toDF("dst"), "dst", "left_semi").join(n.toDF("src"), "src", "left_semi")
+    e = e.join(graph.shuffled(n.toDF("dst")), "dst", "left_semi").join(graph.shuffled(n.toDF("src")), "src", "left_semi")
     return n, e.select("src", "dst")
 
 
