@@ -292,3 +292,23 @@ def test_near_duplicates_of_an_id_with_several_texts(spark):
     rows = [(3, one, "s"), (9, one, "s"), (9, two, "s"), (9, two, "s"), (None, one, "s"), (4, None, "s"), (5, "", "s")]
     got = collections.Counter((x.doc_id, x.text) for x in drop_near_duplicates(_docs(spark, rows)).collect())
     assert got == collections.Counter([(3, one), (9, two), (9, two), (None, one), (4, None), (5, "")])
+
+
+def test_common_phrases_lose_no_line(spark, monkeypatch):
+    """Pairs of similar lines that share nothing but a phrase (or hardly more) which all lines have, of any length."""
+    from tessera.llm import linking
+    from tessera.llm.line_dedup import line_groups
+    from tessera.plans.scratch import Scratch
+
+    monkeypatch.setattr(linking, "SPLIT_ABOVE", 2)
+    monkeypatch.setattr(linking, "PIECE", 2, raising=False)
+    texts = []
+    for n, common, changed in [(5, 3, [3]), (12, 8, [8, 11]), (30, 8, [9, 13, 17, 21, 25, 29]), (60, 45, range(46, 58))]:
+        for pair in range(4):
+            line = [f"commonplace{n}x{k}" for k in range(common)] + [f"{n}a{pair}b{k}" for k in range(common, n)]
+            texts += [" ".join(line), " ".join(f"z{pair}y{k}" if k in changed else w for k, w in enumerate(line))]
+    got = line_groups(_docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), Scratch(spark)).collect()
+    groups = {}
+    for x in got:
+        groups.setdefault(x.group, []).append(x.doc_id)
+    assert sorted(sorted(g) for g in groups.values()) == [[i, i + 1] for i in range(0, len(texts), 2)]
