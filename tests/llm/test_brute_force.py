@@ -312,3 +312,20 @@ def test_common_phrases_lose_no_line(spark, monkeypatch):
     for x in got:
         groups.setdefault(x.group, []).append(x.doc_id)
     assert sorted(sorted(g) for g in groups.values()) == [[i, i + 1] for i in range(0, len(texts), 2)]
+
+
+def test_improbable_segmentations_are_samples_too(monkeypatch):
+    """With steep scores all but one segmentation have chances below e ** -40; where the search begins changes no sample."""
+    from tessera.llm import piece_sampling
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    text = "the theatre and the other thing " * 20
+    want = [piece_sampling.Pieces(path).sample(text, key) for key in range(20)]
+    monkeypatch.setattr(piece_sampling, "HORIZON", 1e-3)
+    assert [piece_sampling.Pieces(path).sample(text, key) for key in range(20)] == want
+    monkeypatch.setattr(piece_sampling, "ALPHA", 2e-2)
+    m = piece_sampling.Pieces(path)
+    for t in ("ab", "of", "th", "xxx", "1 ab"):
+        got = m.sample(t, 7)
+        assert len({tuple(x[0]) for x in got}) == 2 and got[1][1] < -40
+        assert all(m.decode(x[0]) == t for x in got)
