@@ -329,3 +329,26 @@ def test_improbable_segmentations_are_samples_too(monkeypatch):
         got = m.sample(t, 7)
         assert len({tuple(x[0]) for x in got}) == 2 and got[1][1] < -40
         assert all(m.decode(x[0]) == t for x in got)
+
+
+def test_only_chunks_that_come_again_stay_in_the_tables():
+    """op8, pipeline: every chunk stayed, and the tables of a task took hundreds of MB."""
+    import public_tokenizers
+
+    from tessera.llm.piece_sampling import Pieces
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = random.Random(5)
+    word = lambda: "".join(rows.choice("abcdéß字\n") for _ in range(9))
+    texts = [" ".join(["the", "same", "words", *(word() for _ in range(40))]) + x for x in ("", "  two", " ▁x▁", " ")]
+    m = Pieces(path)
+    for text in texts * 2 + ["", "a"]:
+        numbers, count = m.numbers([text, text[:20]])
+        ids, n = m.encode_batch(numbers, count)
+        alone = Pieces(path)
+        assert ids[: n[0]].tolist() == alone.sp.encode(text) and ids[n[0] :].tolist() == alone.sp.encode(text[:20])
+        assert [[(i.tolist(), a, b) for i, a, b in r] for r in m.sample_batch(numbers, count, [7, 8])] == [alone.sample(text, 7), alone.sample(text[:20], 8)]
+    once = Pieces(path)
+    for i in range(50):
+        once.numbers([" ".join(word() for _ in range(200))])
+    assert len(once.number) < 100 and len(once.flat["n_ids"]) < 400
