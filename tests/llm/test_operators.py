@@ -211,6 +211,17 @@ def test_image_copies(spark):
     assert {(x.query_id, x.match_id) for x in got} == {(i, i) for i in range(8)}
 
 
+def test_votes_are_counted_where_the_image_is(spark):
+    """op5: matches were shuffled three times, and their votes at two offsets each: 1 GB for 4 MB of vectors."""
+    from tessera.llm.media import edit, find_copies, render, write_pgm
+
+    rows = lambda of, n: spark.createDataFrame([(i, bytearray(write_pgm(of(render([float(i), 1.0]), i)))) for i in range(n)], "id long, content binary")
+    out = find_copies(rows(lambda a, i: edit(a, i % 4), 3), rows(lambda a, _: a, 9))
+    assert {(x.query_id, x.match_id) for x in out.collect()} == {(i, i) for i in range(3)}
+    moved = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+    assert moved and not [x for x in moved if "q_nth" in x or "half" in x]
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 
