@@ -352,3 +352,18 @@ def test_only_chunks_that_come_again_stay_in_the_tables():
     for i in range(50):
         once.numbers([" ".join(word() for _ in range(200))])
     assert len(once.number) < 100 and len(once.flat["n_ids"]) < 400
+
+
+def test_blocks_are_grouped_in_turns(spark, monkeypatch):
+    """op1, pipeline: all blocks of all lines were one shuffle, beside the tables that it read and wrote."""
+    from tessera.llm import line_dedup, linking
+
+    rows = random.Random(9)
+    lines = [[rows.choice("abcdefghijklm") * 3 for _ in range(12)] for _ in range(30)]
+    lines += [[*x[:-1], "other"] for x in lines]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    met, shared = [], linking._shared
+    monkeypatch.setattr(linking, "_shared", lambda blocks: met.append(blocks.count()) or shared(blocks))
+    kept = {r["doc_id"] for r in line_dedup.dedup_lines(docs).where("__n_dropped = 0").collect()}
+    assert kept == set(range(30))
+    assert len(met) > 1 and max(met) < sum(met) / 2
