@@ -145,6 +145,38 @@ def test_token_counts_equal_the_library():
                 assert c.at(table, k) == len(c.tok.encode(table[2][:k], add_special_tokens=False).ids)
 
 
+def test_tokens_are_counted_by_word_once(monkeypatch):
+    """op4: every text was taken apart into pieces, and one over the limit a second time."""
+    from tessera.llm import token_counts
+
+    class Split:
+        chars = 0
+
+        def findall(self, text):
+            Split.chars += len(text)
+            return split.findall(text)
+
+        def finditer(self, text, pos=0):
+            for m in split.finditer(text, pos):
+                Split.chars += len(m.group())
+                yield m
+
+    split = token_counts.SPLIT
+    c = token_counts.Counter(public_tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(4)
+    signs = [*"abceé½12'!<|> \n\x1c\x1f\x85\xa0日ﬁ한", " the ", "'ll", "<|endoftext|>", "<|STARTOFTEXT|>"]
+    for text in ("".join(r.choices(signs, k=r.randint(1, 40))) for _ in range(500)):
+        counts, table = c.counts(text), c.prefix(text)
+        assert counts[-1] == len(c.tok.encode(text, add_special_tokens=False).ids)
+        for limit in range(counts[-1]):
+            assert c.fitting(text, counts, limit) == c.fit(table, limit)
+    text = "one two's, three! " * 2000
+    monkeypatch.setattr(token_counts, "SPLIT", Split())
+    counts = c.counts(text)
+    assert counts[-1] == len(c.tok.encode(text, add_special_tokens=False).ids)
+    assert len(text[: c.fitting(text, counts, 2048)].split()) > 900 and Split.chars < 100
+
+
 def test_urls(spark):
     from tessera.llm.url_filter import judge
 
