@@ -254,6 +254,59 @@ def test_votes_are_counted_where_the_image_is(spark):
     assert moved and not [x for x in moved if "q_nth" in x or "half" in x]
 
 
+def test_copies_are_found_in_blocks_of_images(spark, monkeypatch):
+    """op5: every corner stood 32 times in Spark's rows, each of its matches again: 190 s of a run that was stopped at 232."""
+    from tessera.llm import media
+
+    rows = lambda of, ids: spark.createDataFrame([(i, bytearray(media.write_pgm(of(media.render([float(i % 9), 1.0]), i)))) for i in ids], "id long, content binary")
+    asked, images = rows(lambda a, i: media.edit(a, i % 4), range(5)), rows(lambda a, _: a, range(12))
+    whole = sorted(media.find_copies(asked, images).collect())
+    assert {(x.query_id, x.match_id) for x in whole} == {(i, i) for i in range(5)}
+    monkeypatch.setattr(media, "BLOCK_CORNERS", 60)
+    monkeypatch.setattr(media, "MEET_PAIRS", 700)
+    out = media.find_copies(asked, images)
+    assert sorted(out.collect()) == whole and "Generate explode(array(" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matched_corners_equal_brute_force(monkeypatch):
+    """op5: the tables' matches are all pairs with an equal key within MOST_BITS, and votes are those of a plain count."""
+    from collections import defaultdict
+
+    import numpy as np
+
+    from tessera.llm import media
+
+    class Corners(media._Corners):
+        def __init__(self, r, n, shift):
+            self.size = np.full(n, 30)
+            self.rows, self.image, self.nth = np.arange(n) + 100, np.repeat(np.arange(n), 30), np.tile(np.arange(30), n)
+            self.x, self.y = r.uniform(20, 50, 30 * n) + shift, r.uniform(20, 50, 30 * n)
+            self.zoom, self.angle, self.span = r.choice([1.0, 4 / 3, 2.0], 30 * n), r.uniform(-3.1, 3.1, 30 * n), np.full(30 * n, 72.0)
+            bits = np.random.default_rng(1).integers(0, 2, (30 * n, 256)).astype(bool) ^ (r.random((30 * n, 256)) < 0.07)
+            words = np.packbits(np.stack([bits, bits[:, media._SECOND]], axis=1), axis=2, bitorder="little").reshape(30 * n, 64).view(np.uint64)
+            self.bits, self.keys = np.ascontiguousarray(words[:, :4]), words.view("<u2")
+
+    a, b = Corners(np.random.default_rng(2), 4, 0.0), Corners(np.random.default_rng(3), 6, 3.0)
+    a.zoom, a.angle, a.x, a.y = b.zoom[:120], b.angle[:120], b.x[:120] - 2, b.y[:120] - 2
+    met = {(i, j) for i in range(120) for j in range(180) if (a.keys[i] == b.keys[j]).any() and np.bitwise_count(a.bits[i] ^ b.bits[j]).sum() <= media.MOST_BITS}
+    cells = defaultdict(list)
+    for i, j in met:
+        scale, turn = np.log2(b.zoom[j] / a.zoom[i]), (b.angle[j] - a.angle[i]) % (2 * np.pi)
+        c, s, step = 2**scale * np.cos(turn), 2**scale * np.sin(turn), max(media.CELL, 72 * media.CELL_SHARE)
+        dx, dy = (b.x[j] - c * a.x[i] + s * a.y[i]) / step, (b.y[j] - s * a.x[i] - c * a.y[i]) / step
+        for half in (0, 0.5):
+            cell = (*(np.floor(v + half) for v in (scale / 0.6, turn / (np.pi / 8), dx, dy)),)
+            cells[a.rows[a.image[i]], b.rows[b.image[j]], half, cell[0], cell[1] % 16, *cell[2:]].append(a.nth[i])
+    want = defaultdict(int)
+    for cell, nth in cells.items():
+        if len(set(nth)) >= media.LEAST_VOTES:
+            want[cell[:2]] = max(want[cell[:2]], len(set(nth)))
+    assert len(want) >= 4
+    for pairs in (media.MEET_PAIRS, 700):
+        monkeypatch.setattr(media, "MEET_PAIRS", pairs)
+        assert {x[:2]: x[2] for x in media._match(a, b)} == want
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 
