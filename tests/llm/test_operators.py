@@ -307,6 +307,18 @@ def test_matched_corners_equal_brute_force(monkeypatch):
         assert {x[:2]: x[2] for x in media._match(a, b)} == want
 
 
+def test_usual_texts_are_cut_at_spaces(monkeypatch):
+    """op8: every text went through a regular expression, a twelfth of the query's time."""
+    from tessera.llm import piece_sampling
+
+    model, r = piece_sampling.Pieces(public_tokenizers.path("piece_bpe_32k.model")), random.Random(3)
+    for text in ("".join(r.choices("ab é日\n\t\0▁  ", k=r.randint(0, 12))) for _ in range(3000)):
+        assert model.chunks(text) == piece_sampling.CHUNK.findall((" " if model.prefix and text else "") + text)
+    text = "three usual\twords,\nand more"
+    monkeypatch.setattr(piece_sampling, "CHUNK", None)
+    assert model.chunks(text) == [" three", " usual\twords,\nand", " more"]
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 
